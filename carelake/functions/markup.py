@@ -102,7 +102,13 @@ def is_disease_page(title: Column, found: Column, parts: Column) -> Column:
 
 
 def snapshot_tag(path: Column) -> Column:
-    """Snapshot date in a file name: eight digits, or six with the century added."""
-    found = F.regexp_extract(F.element_at(F.split(path, "/"), -1), SNAPSHOT, 1)
+    """Snapshot date in a dump's name: eight digits, or six with the century added.
+
+    A dump that is a folder of part files is named by its folder.
+    """
+    steps = F.split(path, "/")
+    name = F.when(F.element_at(steps, -1).startswith("part-"), F.try_element_at(steps, F.lit(-2))) \
+        .otherwise(F.element_at(steps, -1))
+    found = F.regexp_extract(name, SNAPSHOT, 1)
     return F.when(F.length(found) == 6, F.concat(F.lit("20"), found)).otherwise(
         F.nullif(found, F.lit("")))

@@ -37,7 +37,7 @@ def alias_rows(resolved: DataFrame) -> DataFrame:
 
     A title on a cycle is an alias of its target, any other of its chain's end.
     """
-    end = F.when("on_cycle", F.col("tgt")).otherwise(F.col("canonical"))
+    end = F.when(F.col("on_cycle"), F.col("tgt")).otherwise(F.col("canonical"))
     return resolved.select(end.alias("canonical_title"), F.col("src").alias("alias"))
 
 

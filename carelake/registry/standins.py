@@ -8,6 +8,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+
+def _title(k: str) -> str:
+    return f"'T' || CAST({k} AS VARCHAR(20)) || CASE WHEN {k} % 7 = 0 THEN '증후군' ELSE '' END"
+
+
+# The marked-up body of a section, and the page by kind (doc_id % 5).
+MARKED = ("repeat(chr(39), 3) || 'note' || repeat(chr(39), 3) || "
+          "' [[page|shown]] and [[link]]<ref name=x>gone</ref>{{{#!wiki x}}}{{box}} "
+          "[https://example.org/a label]' || chr(9) || chr(10) || chr(10) || chr(10) || text")
+_REDIRECT = (f"CASE doc_id % 3 WHEN 0 THEN '#redirect [[' || {{t}} || ']]' WHEN 1 THEN ' # 넘겨주기 [[ ' || {{t}} || ' ]]' "
+             f"ELSE '#REDIRECT ' || {{t}} END")
+_HEAD = "CASE doc_id % 3 WHEN 0 THEN '== 증상 ==' WHEN 1 THEN '=== 임상  증상 ===' ELSE '== 주요 증상==' END"
+_PAGE = (
+    "CASE doc_id % 5 "
+    f"WHEN 0 THEN '[[분류:희귀 질환]]' || chr(10) || '== 개요 ==' || chr(10) || text || chr(10) || "
+    f"CASE WHEN lang = 'fr' THEN '' ELSE {_HEAD} || chr(10) || {MARKED} || chr(10) END || '== 여담 ==' || chr(10) || 'x' "
+    f"WHEN 1 THEN {_REDIRECT.format(t=_title('CAST(floor(doc_id / 3) AS BIGINT)'))} "
+    f"WHEN 2 THEN {_HEAD} || chr(10) || {MARKED} "
+    f"WHEN 3 THEN '[[분류:질병]][[Category: 한국 영화 ]]' || chr(10) || {_HEAD} || chr(10) || {MARKED} || chr(10) || "
+    f"CASE WHEN doc_id % 2 = 0 THEN '== 원인 ==' || chr(10) || 'c' ELSE '== 기타 ==' END "
+    f"ELSE {_REDIRECT.format(t=_title('((doc_id * doc_id + 1) % 1009)'))} END")
+
 EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
     # Query points over the capital area; facilities on the same square.
     "points": ("customer", [
@@ -53,6 +75,9 @@ EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
     "effects": ("part", ["CAST(p_partkey AS VARCHAR(20)) AS item_seq", "p_type AS effect_name"]),
     # Prescription lines.
     "lines": ("lineitem", ["l_orderkey AS rx_id", "CAST(l_partkey AS VARCHAR(20)) AS item_seq"]),
+    # Wiki pages built around whole documents: articles of three kinds, and redirects.
+    "dump": ("documents", [
+        f"{_title('doc_id')} AS title", "doc_id AS ordinal", f"{_PAGE} AS text"]),
     # Chat messages.
     "messages": ("conversations", [
         "conv_id AS session_id", "turn", "role", "text AS content"]),
