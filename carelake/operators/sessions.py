@@ -86,7 +86,7 @@ def inactivity_sessions(events: DataFrame, key: str = "user_id", ts: str = "ts",
     many events is as short as its time span.
     """
     gap = gap_seconds * 1_000_000
-    at = F.unix_micros(ts)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     slots = events.groupBy(key, F.floor(at / F.lit(gap)).alias("slot")).agg(
         F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(key).orderBy("slot")

@@ -33,9 +33,14 @@ def latest_version(spark: SparkSession, base: str) -> int | None:
     return max(versions, default=None)
 
 
-def append_log(rows: DataFrame, path: str, at: str = "created_at") -> None:
-    """Append log rows, one folder per day."""
-    rows.withColumn("log_date", F.to_date(at)).write.mode("append").partitionBy("log_date").parquet(path)
+def append_log(rows: DataFrame, path: str, at: str = "created_at", unit: str = "day") -> None:
+    """Append log rows, one folder per day (or month, or year).
+
+    Rebalancing gathers a period into few files, and splits a period that
+    holds most of the rows over many tasks.
+    """
+    dated = rows.withColumn("log_date", F.to_date(F.date_trunc(unit, at)))
+    dated.hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(path)
 
 
 def scan(spark: SparkSession, path: str, query: str, columns: list[str] | None = None, **args) -> DataFrame:
