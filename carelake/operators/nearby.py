@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from carelake.functions.geo import SPHERE_M, facility_tier, great_circle_m, sphere_xyz
 from carelake.operators.filters import with_position
+from carelake.operators.layout import spread
 
 AXES = ("x", "y", "z")
 SLACK_M = 0.01  # rounding of positions against the cube tests
@@ -61,7 +62,7 @@ def nearby_facilities(points: DataFrame, facilities: DataFrame, radius_km: float
     tier = facility_tier(F.col("kind")) if order == "tier" else F.lit(0)
     located = with_position(facilities).select("facility_id", "lon", "lat", tier.alias("tier"))
     fac = _cell(_colocated(located, k), width, radius_m, "f")
-    pts = _cell(with_position(points).select("point_id", "lon", "lat"), width, radius_m, "p")
+    pts = _cell(spread(with_position(points).select("point_id", "lon", "lat")), width, radius_m, "p")
     pkeys, fkeys = [f"p{a}" for a in AXES], [f"f{a}" for a in AXES]
 
     # Occupied facility cubes, seen from the 27 radius-wide cubes around them.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from carelake import schemas
 from carelake.operators.upsert import compare_and_upsert, save_counts, upsert
+from carelake.session import cut_lineage
 from carelake.sources import envelope
 
 ORDINAL = "ordinal"
@@ -35,6 +36,6 @@ def collect(existing: DataFrame, normalised: DataFrame, table: str, as_of: Colum
 
 def collection_counts(existing: DataFrame, normalised: DataFrame, table: str,
                       force: bool = False, unwrap: bool = False) -> DataFrame:
-    rows = incoming_rows(normalised, table, unwrap)
+    rows = cut_lineage(incoming_rows(normalised, table, unwrap))  # counted in several ways
     return save_counts(existing, rows, schemas.KEYS[table], schemas.COMPARED.get(table, []), ORDINAL,
                        force or table not in schemas.COMPARED)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from carelake.functions.markup import (
     SYMPTOM_TITLES, categories, clean_markup, is_disease_page, pick_section, redirect_target, sections,
 )
+from carelake.operators.layout import with_once
 from carelake.operators.redirects import resolve_chains
 from carelake.operators.upsert import newest
 from carelake.session import cut_lineage
@@ -24,9 +25,9 @@ def redirect_edges(dump: DataFrame) -> DataFrame:
 def disease_articles(dump: DataFrame) -> DataFrame:
     """Articles about diseases with their cleaned symptom section; no shuffle."""
     text = F.col("text")
-    articles = dump.where(redirect_target(text).isNull()).withColumns(
-        {"parts": sections(text), "found": categories(text)})
-    return (articles.where(is_disease_page(F.col("title"), F.col("found"), F.col("parts")))
+    articles = dump.where(redirect_target(text).isNull())
+    parsed = with_once(articles, parts=sections(text), found=categories(text))
+    return (parsed.where(is_disease_page(F.col("title"), F.col("found"), F.col("parts")))
             .select("title", "ordinal",
                     F.nullif(clean_markup(pick_section(F.col("parts"), SYMPTOM_TITLES)), F.lit(""))
                     .alias("symptom_text")))

@@ -15,6 +15,7 @@ from carelake.operators.drug_safety import missing_facts, safe_candidates
 from carelake.operators.nearby import nearby_facilities
 from carelake.operators.selection import rank_again, select_drugs
 from carelake.operators.vectors import similar
+from carelake.session import cut_lineage
 
 # Search sizes and answers.
 CANDIDATES, PHARMACY_KM, HOSPITAL_KM, FACILITIES = 20, 3.0, 5.0, 10
@@ -30,7 +31,7 @@ def decided(requests: DataFrame) -> DataFrame:
 
 def candidate_drugs(requests: DataFrame, query_vectors: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The nearest drugs of each request; each distinct query vector is searched once."""
-    hits = similar(query_vectors, catalogue, CANDIDATES)
+    hits = cut_lineage(similar(query_vectors, catalogue, CANDIDATES))  # few rows, used twice
     named = hits.join(catalogue.select("vec_id", "item_seq", "item_name", "entp_name"), "vec_id")
     slim = requests.select("request_id", "query_id", "user_age", "is_pregnant")
     return slim.join(named, "query_id").drop("query_id", "vec_id")

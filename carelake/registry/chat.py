@@ -99,7 +99,8 @@ SELECT o_orderkey, severity_score, CASE o_orderstatus WHEN 'F' THEN 'HOSPITAL' E
   CASE WHEN severity_score >= 9 THEN 'EMERGENCY' WHEN severity_score >= 8 THEN 'SEVERE' ELSE 'MODERATE' END AS tone
 FROM s""")
 def severity_decisions(spark, sf):
-    decided = table(spark, sf, "orders").select("o_orderkey", replies.severity_decision(F.expr(_SEVERITY)).alias("d"))
+    decided = table(spark, sf, "orders", costly=True).select(
+        "o_orderkey", replies.severity_decision(F.expr(_SEVERITY)).alias("d"))
     score = F.col("severity_score")
     return decided.select("o_orderkey", "d.*").select(
         "*", advice.triage_band(score).alias("band"), advice.message_tone(score).alias("tone"))

@@ -281,7 +281,7 @@ def existing_rows(spark, sf, name) -> DataFrame:
 
 def feed_pages(spark, sf, name) -> DataFrame:
     """The table's feed: camelCase or UPPER_CASE keys, duplicates, and rows without a key."""
-    rows = table(spark, sf, "part").where("p_type <> 'PROMO'")
+    rows = table(spark, sf, "part", costly=True).where("p_type <> 'PROMO'")
     last = F.when(F.col("p_type") == "LARGE", 1).otherwise(0)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), last)))
     newest = F.col("copy") == last
@@ -306,8 +306,9 @@ def feed_pages(spark, sf, name) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("p_partkey", "copy", "item")))["item"].alias("items"))
     payload = F.concat(F.lit('{"header":{"resultCode":"00"},"body":{"items":['), F.array_join("items", ","),
                        F.lit('],"totalCount":1000000000000,"numOfRows":50}}'))
-    return pages.select(F.lit(name).alias("source"), "page_no", F.lit(50).cast("bigint").alias("batch_size"),
-                        payload.alias("payload"))
+    landed = pages.select(F.lit(name).alias("source"), "page_no", F.lit(50).cast("bigint").alias("batch_size"),
+                          payload.alias("payload"))
+    return landed.repartition(spark.sparkContext.defaultParallelism)  # as landed files are
 
 
 def _as_text(df, name):
@@ -472,6 +473,6 @@ def recollected_feed(spark, sf):
     """The feed landed as files, taken by a stream in several runs; the last snapshot."""
     landing, base = scratch_path(spark, "landing"), scratch_path(spark, "table")
     snapshots.write_snapshot(existing_rows(spark, sf, "emergency").withColumn("action", F.lit("kept")), base, 0)
-    feed_pages(spark, sf, "emergency").coalesce(1).write.parquet(landing)
+    feed_pages(spark, sf, "emergency").write.parquet(landing)
     recollect.run(spark, landing, base, "emergency", F.lit(NOW).cast("timestamp"), scratch_path(spark, "progress"))
     return _as_text(snapshots.read_snapshot(spark, base, snapshots.latest_version(spark, base)), "emergency")

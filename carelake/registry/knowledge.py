@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carelake.functions import markup
+from carelake.operators.layout import with_once
 from carelake.operators.redirects import resolve_chains
 from carelake.plans import disease
 from carelake.registry import query
-from carelake.registry.standins import MARKED, _title, standin, table, with_sql
+from carelake.registry.standins import MARKED, _title, standin, table, wiki_dump, with_sql
 from carelake.session import scratch_path
 from carelake.sources import dumps
 
@@ -41,7 +42,7 @@ _CLEAN = _sql_clean(MARKED)
 
 @query("redirect_targets", f"SELECT doc_id AS ordinal, {_TARGET} AS target FROM documents")
 def redirect_targets(spark, sf):
-    return standin(spark, sf, "dump").select("ordinal", markup.redirect_target(F.col("text")).alias("target"))
+    return wiki_dump(spark, sf).select("ordinal", markup.redirect_target(F.col("text")).alias("target"))
 
 
 @query("page_sections", """
@@ -56,7 +57,7 @@ SELECT doc_id AS ordinal, n, title, level FROM (
            WHEN doc_id % 2 = 0 THEN [{'t': '원인', 'l': 2}] ELSE [{'t': '기타', 'l': 2}] END) AS h
     FROM documents))""")
 def page_sections(spark, sf):
-    return standin(spark, sf, "dump").select(
+    return wiki_dump(spark, sf).select(
         "ordinal", F.posexplode(markup.sections(F.col("text"))).alias("n", "s")).select(
         "ordinal", "n", "s.title", "s.level")
 
@@ -64,7 +65,7 @@ def page_sections(spark, sf):
 @query("symptom_sections", f"""
 SELECT doc_id AS ordinal, {_CLEAN} AS symptom_text FROM documents WHERE {_SECTIONED}""")
 def symptom_sections(spark, sf):
-    parts = standin(spark, sf, "dump").withColumn("parts", markup.sections(F.col("text")))
+    parts = with_once(wiki_dump(spark, sf), parts=markup.sections(F.col("text")))
     body = markup.pick_section(F.col("parts"), markup.SYMPTOM_TITLES)
     return parts.withColumn("body", body).where("body IS NOT NULL").select(
         "ordinal", markup.clean_markup(F.col("body")).alias("symptom_text"))
@@ -74,7 +75,7 @@ def symptom_sections(spark, sf):
 SELECT doc_id AS ordinal, CASE doc_id % 5 WHEN 0 THEN '희귀 질환' WHEN 3 THEN '질병|한국 영화' ELSE '' END AS categories,
   doc_id % 5 IN (0, 3) AS disease_category, doc_id % 5 = 3 AS other_category FROM documents""")
 def page_categories(spark, sf):
-    found = standin(spark, sf, "dump").select("ordinal", markup.categories(F.col("text")).alias("found"))
+    found = wiki_dump(spark, sf).select("ordinal", markup.categories(F.col("text")).alias("found"))
     return found.select("ordinal", F.array_join("found", "|").alias("categories"),
                         markup.any_category(F.col("found"), markup.DISEASE_CATEGORIES).alias("disease_category"),
                         markup.any_category(F.col("found"), markup.OTHER_CATEGORIES).alias("other_category"))
@@ -84,7 +85,7 @@ def page_categories(spark, sf):
 SELECT {_TITLE} AS title, doc_id AS ordinal, CASE WHEN {_SECTIONED} THEN {_CLEAN} END AS symptom_text
 FROM documents WHERE {_DISEASE}""")
 def disease_articles(spark, sf):
-    return disease.disease_articles(standin(spark, sf, "dump"))
+    return disease.disease_articles(wiki_dump(spark, sf))
 
 
 # The walk of the redirects, hop by hop, as the other engine's check.
@@ -115,14 +116,14 @@ d AS (SELECT {_TITLE} AS canonical_title, doc_id, CASE WHEN {_SECTIONED} THEN {_
 
 @query("disease_aliases", _ALIASES + "SELECT canonical_title, alias FROM aliases SEMI JOIN d USING (canonical_title)")
 def disease_aliases(spark, sf):
-    return disease.disease_titles(standin(spark, sf, "dump"))[1]
+    return disease.disease_titles(wiki_dump(spark, sf))[1]
 
 
 @query("alias_sets", _ALIASES + """
 SELECT canonical_title, string_agg(alias, '|' ORDER BY alias) AS aliases FROM aliases GROUP BY 1""")
 def alias_sets(spark, sf):
     """Aliases of every end title, in one part each at the default size."""
-    edges = resolve_chains(disease.redirect_edges(standin(spark, sf, "dump")))
+    edges = resolve_chains(disease.redirect_edges(wiki_dump(spark, sf)))
     sets = disease.alias_sets(disease.alias_rows(edges))
     return sets.select("canonical_title", F.array_join("aliases", "|").alias("aliases"))
 
@@ -134,14 +135,14 @@ FROM d LEFT JOIN (SELECT canonical_title, min(alias) AS common_name, count(*) AS
                   FROM aliases GROUP BY 1) USING (canonical_title)""".replace(
     "SELECT canonical_title, common_name", "SELECT d.canonical_title, common_name"))
 def disease_master(spark, sf):
-    return disease.disease_master(standin(spark, sf, "dump"), "wiki", "20240115")
+    return disease.disease_master(wiki_dump(spark, sf), "wiki", "20240115")
 
 
 @query("title_keys", f"""
 SELECT canonical_title FROM (SELECT {_TITLE} AS canonical_title FROM documents WHERE {_DISEASE}
 UNION SELECT {_TARGET} FROM documents WHERE doc_id % 5 IN (1, 4)) ORDER BY 1""")
 def title_keys(spark, sf):
-    pages = standin(spark, sf, "dump")
+    pages = wiki_dump(spark, sf)
     articles = disease.disease_articles(pages).select(F.col("title").alias("canonical_title"))
     targets = disease.redirect_edges(pages).select(F.col("tgt").alias("canonical_title"))
     return disease.title_keys(articles, targets)
@@ -153,7 +154,7 @@ FROM ({with_sql('dump').strip()} SELECT ordinal AS doc_id, {_BLANKS.format('text
 def dump_round_trip(spark, sf):
     """The dump written as gzip JSON lines and read again."""
     path = scratch_path(spark, "dump") + "/wiki_20240115.jsonl"
-    dumps.write_dump(standin(spark, sf, "dump"), path)
+    dumps.write_dump(wiki_dump(spark, sf), path)
     return dumps.read_dump(spark, path).select("title", F.length("text").alias("n_chars"),
                                                F.md5("text").alias("digest"), "snapshot")
 

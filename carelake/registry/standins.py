@@ -7,6 +7,9 @@ alike, so a query and its SQL start from the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from carelake.operators.layout import spread, with_once
 
 
 def _title(k: str) -> str:
@@ -90,17 +93,28 @@ EXPRESSIONS: dict[str, tuple[str, list[str]]] = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
+    """A given table; ``costly`` when the query does heavy work on each row."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if costly else rows
 
 
-def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def standin(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
     source, expressions = EXPRESSIONS[name]
     base, _, condition = source.partition(" WHERE ")
-    rows = table(spark, sf_dir, base)
+    rows = table(spark, sf_dir, base, costly)
     return (rows.where(condition) if condition else rows).selectExpr(*expressions)
 
 
+def wiki_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dump, each page put together once."""
+    columns = dict(reversed(e.rsplit(" AS ", 1)) for e in EXPRESSIONS["dump"][1])
+    pages = table(spark, sf_dir, "documents", costly=True)
+    made = with_once(pages.select("doc_id", "text", "lang").withColumnRenamed("text", "source_text"),
+                     text=F.expr(columns["text"].replace("text", "source_text")))
+    return made.select(F.expr(columns["title"]).alias("title"), F.col("doc_id").alias("ordinal"), "text")
+
+
 def standin_sql(name: str) -> str:
     source, expressions = EXPRESSIONS[name]
     return f"SELECT {', '.join(expressions)} FROM {source}"

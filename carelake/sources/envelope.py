@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelake.functions.text import camel_key
+from carelake.operators.layout import with_once
 from carelake.session import cut_lineage
 
 # Markers of an error page.
@@ -45,16 +46,6 @@ def _number(node: Column, path: str, default: int) -> Column:
     return F.coalesce(F.nullif(value, F.lit(0)), F.lit(default)).cast("bigint")
 
 
-def _once(df: DataFrame, **values: Column) -> DataFrame:
-    """Add columns that are worked out once per row.
-
-    A generator is where the optimizer stops copying an expression into every
-    place that uses it, filters below included; a page is parsed one time.
-    """
-    row = F.struct(*[v.alias(n) for n, v in values.items()])
-    return df.select("*", F.inline(F.array(row)))
-
-
 def normalise(pages: DataFrame) -> DataFrame:
     """Adds ``shape, error, items, total_count, page_in_body, rows_in_body, item_count``."""
     body = F.col("node")
@@ -98,9 +89,9 @@ def normalise(pages: DataFrame) -> DataFrame:
         return (F.when(plain, bare).when(F.col("shape") == "response",
                                          _number(body, f"$.response.body.{path}", default))
                 .when(F.col("error").isNull(), _number(body, f"$.body.{path}", default)))
-    parsed = _once(pages, node=F.try_parse_json("payload"))
-    shaped = _once(parsed, shape=shape).withColumn("error", error)
-    return _once(shaped, items=items).withColumns({
+    parsed = with_once(pages, node=F.try_parse_json("payload"))
+    shaped = with_once(parsed, shape=shape).withColumn("error", error)
+    return with_once(shaped, items=items).withColumns({
         "item_count": size, "total_count": counted("totalCount", size, 0),
         "page_in_body": counted("pageNo", F.lit(1).cast("bigint"), 1),
         "rows_in_body": counted("numOfRows", size, 1)}).drop("node")
@@ -127,10 +118,10 @@ def fields(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     spellings = [s for c in columns for s in (camel_key(c), c.upper())]
     found = ", ".join(f"`{s}`: string" for s in spellings)
     numbered = ", ".join(f"s{i}: string" for i in range(len(spellings)))
-    read = rows.select(*keep, F.expr(
-        f"CAST(try_variant_get(item, '$', 'struct<{found}>') AS struct<{numbered}>)").alias("_f"))
-    return read.selectExpr(*[f"`{c}`" for c in read.columns if c != "_f"], *[
-        f"coalesce(nullif(_f.s{2 * i}, ''), nullif(_f.s{2 * i + 1}, '')) AS `{c}`"
+    read = with_once(rows, _f=F.expr(
+        f"CAST(try_variant_get(item, '$', 'struct<{found}>') AS struct<{numbered}>)"))
+    return read.select(*keep, *[
+        F.expr(f"coalesce(nullif(_f.s{2 * i}, ''), nullif(_f.s{2 * i + 1}, '')) AS `{c}`")
         for i, c in enumerate(columns)])
 
 
