@@ -88,18 +88,23 @@ def missing_facts(candidates: DataFrame, pregnancy: DataFrame, elderly: DataFram
 def pair_interactions(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """Forbidden pairs inside one prescription, each once, smaller item first.
 
-    A line meets its forbidden partners, and those are looked up among the
-    lines of its own prescription: only pairs that are forbidden are formed,
-    never all pairs of a prescription.
+    The lines of a pair's rarer item look for the other item in their own
+    prescription. Only forbidden pairs are formed, never all pairs of a
+    prescription, and an item in a third of all lines is only ever looked up.
     """
     taken = lines.select("rx_id", "item_seq").distinct()
     forbidden = pairs.select(
-        F.least("item_seq", "mixture_item_seq").alias("item_seq"),
-        F.greatest("item_seq", "mixture_item_seq").alias("mixture_item_seq")) \
-        .where("item_seq <> mixture_item_seq").distinct()
-    other = taken.withColumnRenamed("item_seq", "mixture_item_seq")
-    return taken.join(forbidden, "item_seq").join(other, ["rx_id", "mixture_item_seq"], "left_semi") \
-        .select("rx_id", "item_seq", "mixture_item_seq")
+        F.least("item_seq", "mixture_item_seq").alias("a"),
+        F.greatest("item_seq", "mixture_item_seq").alias("b")).where("a <> b").distinct()
+    uses = taken.groupBy("item_seq").agg(F.count(F.lit(1)).alias("n"))
+    counted = (forbidden.join(uses.select(F.col("item_seq").alias("a"), F.col("n").alias("na")), "a")
+               .join(uses.select(F.col("item_seq").alias("b"), F.col("n").alias("nb")), "b"))
+    rare = F.col("na") <= F.col("nb")
+    asked = counted.select("a", "b", F.when(rare, F.col("a")).otherwise(F.col("b")).alias("item_seq"),
+                           F.when(rare, F.col("b")).otherwise(F.col("a")).alias("other"))
+    others = taken.withColumnRenamed("item_seq", "other")
+    return (taken.join(asked, "item_seq").join(others, ["rx_id", "other"], "left_semi")
+            .select("rx_id", F.col("a").alias("item_seq"), F.col("b").alias("mixture_item_seq")))
 
 
 def rule_hits(lines: DataFrame, rules: dict[str, DataFrame]) -> DataFrame:

@@ -35,7 +35,8 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
 
 def lookup_all(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """Point lookups for a whole frame of keys."""
-    return df.join(wanted.select(F.col(wanted_key).alias(key)), key, "left_semi")
+    keys = wanted.select(F.col(wanted_key).alias(key)).distinct()  # repeated keys collapse before the shuffle
+    return df.join(keys, key, "left_semi")
 
 
 def by_region(df: DataFrame, province: str | None = None, district: str | None = None) -> DataFrame:

@@ -88,7 +88,7 @@ def save_counts(existing: DataFrame, incoming: DataFrame, keys: list[str], compa
 
 
 def delete(existing: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    return existing.join(gone.select(*keys), keys, "left_anti")
+    return existing.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
 def patch(existing: DataFrame, patches: DataFrame, keys: list[str], columns: list[str],

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 METRICS = ("l2sq", "cosine", "dot")
 FEW_QUERIES = 2048          # query vectors held by every task
 BLOCK_ROWS = 20_000         # vectors of one side in one block
+SLICE = 128                 # queries whose distances to a block are held at once
 RESULT = "query_id bigint, vec_id bigint, distance double"
 
 
@@ -57,15 +58,16 @@ def _precise(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 def block_best(q: np.ndarray, v: np.ndarray, vids: np.ndarray, k: int, metric: str):
     """Per query row, the ids and distances of its k best in the block."""
-    rough = _rough(q, v, metric)
-    margin = 1e-9 * (1 + np.abs(rough).max(axis=1))
-    edge = (np.partition(rough, k - 1, axis=1)[:, k - 1] if v.shape[0] > k
-            else rough.max(axis=1)) + margin
-    for i in range(q.shape[0]):
-        at = np.flatnonzero(rough[i] <= edge[i])
-        d = _precise(q[i], v[at], metric)
-        pick = np.lexsort((vids[at], d))[:k]
-        yield i, vids[at][pick], d[pick]
+    for start in range(0, len(q), SLICE):
+        rough = _rough(q[start:start + SLICE], v, metric)
+        margin = 1e-9 * (1 + np.abs(rough).max(axis=1))
+        edge = (np.partition(rough, k - 1, axis=1)[:, k - 1] if v.shape[0] > k
+                else rough.max(axis=1)) + margin
+        for i, row in enumerate(rough):
+            at = np.flatnonzero(row <= edge[i])
+            d = _precise(q[start + i], v[at], metric)
+            pick = np.lexsort((vids[at], d))[:k]
+            yield start + i, vids[at][pick], d[pick]
 
 
 def _result(qids, vids, dist) -> pa.RecordBatch:

@@ -13,21 +13,27 @@ from carelake.sources import envelope
 ORDINAL = "ordinal"
 
 
-def incoming_rows(normalised: DataFrame, table: str, unwrap: bool = False) -> DataFrame:
-    """Typed rows of ``table`` from the pages that count, with an ordinal over page and item."""
+def incoming_rows(normalised: DataFrame, table: str, unwrap: bool = False,
+                  stop_rule: bool = True) -> DataFrame:
+    """Typed rows of ``table``, with an ordinal over page and item.
+
+    ``stop_rule`` takes the pages a paged fetch would have taken; without it
+    every readable page counts, as when pages land in pieces.
+    """
     stamps = ("created_at", "updated_at")
     names = [c for c in schemas.column_names(table) if c not in stamps]
     types = {f.name: f.dataType.simpleString() for f in schemas.schema(table)}
-    rows = envelope.item_rows(envelope.taken_pages(normalised), unwrap)
+    pages = envelope.taken_pages(normalised) if stop_rule else normalised
+    rows = envelope.item_rows(pages, unwrap)
     raw = envelope.fields(rows, names, ["page_no", "item_no"])
     return raw.selectExpr(*[f"try_cast(`{c}` AS {types[c]}) AS `{c}`" for c in names],
                           f"struct(page_no, item_no) AS {ORDINAL}")
 
 
 def collect(existing: DataFrame, normalised: DataFrame, table: str, as_of: Column,
-            force: bool = False, unwrap: bool = False) -> DataFrame:
+            force: bool = False, unwrap: bool = False, stop_rule: bool = True) -> DataFrame:
     """Next rows of ``table``; facility tables are compared first and carry an ``action``."""
-    rows = incoming_rows(normalised, table, unwrap)
+    rows = incoming_rows(normalised, table, unwrap, stop_rule)
     keys = schemas.KEYS[table]
     if table in schemas.COMPARED:
         return compare_and_upsert(existing, rows, keys, schemas.COMPARED[table], ORDINAL, as_of, force)

@@ -468,11 +468,12 @@ def snapshot_refresh(spark, sf):
     return newest.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("recollected_feed", _upsert_sql("emergency"))
+@query("recollected_feed", _upsert_sql("emergency", "SELECT * EXCLUDE (action) FROM result"))
 def recollected_feed(spark, sf):
     """The feed landed as files, taken by a stream in several runs; the last snapshot."""
     landing, base = scratch_path(spark, "landing"), scratch_path(spark, "table")
     snapshots.write_snapshot(existing_rows(spark, sf, "emergency").withColumn("action", F.lit("kept")), base, 0)
     feed_pages(spark, sf, "emergency").write.parquet(landing)
-    recollect.run(spark, landing, base, "emergency", F.lit(NOW).cast("timestamp"), scratch_path(spark, "progress"))
-    return _as_text(snapshots.read_snapshot(spark, base, snapshots.latest_version(spark, base)), "emergency")
+    recollect.run(spark, landing, base, "emergency", F.lit(NOW).cast("timestamp"), scratch_path(spark, "progress"), files_per_run=4)
+    last = snapshots.read_snapshot(spark, base, snapshots.latest_version(spark, base))
+    return _as_text(last, "emergency").drop("action")

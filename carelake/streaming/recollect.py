@@ -17,8 +17,9 @@ def run(spark: SparkSession, landing: str, base: str, table: str, as_of: Column,
 
     Run ``n`` of the stream reads snapshot ``n`` and writes snapshot ``n + 1``,
     so a repeated run overwrites its own half-written output with the same
-    rows, and the upsert makes pages that land twice harmless. The clock that
-    calls this is the caller's.
+    rows, and the upsert makes pages that land twice harmless. Every readable
+    page counts, as the pages of a source may land in different runs. The
+    clock that calls this is the caller's.
     """
     pages = (spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_run)
              .parquet(landing))
@@ -26,7 +27,7 @@ def run(spark: SparkSession, landing: str, base: str, table: str, as_of: Column,
     def apply(batch: DataFrame, run_no: int) -> None:
         session = batch.sparkSession
         before = read_snapshot(session, base, run_no).drop("action")
-        after = collect(before, normalise(batch), table, as_of, force, unwrap)
+        after = collect(before, normalise(batch), table, as_of, force, unwrap, stop_rule=False)
         write_snapshot(after, base, run_no + 1)
 
     (pages.writeStream.foreachBatch(apply).option("checkpointLocation", progress)
