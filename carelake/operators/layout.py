@@ -19,6 +19,11 @@ def with_once(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Size the optimizer expects; for rows read from files, the size of the files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a small input with costly rows over all cores; leave a large one as it is.
 
@@ -26,5 +31,4 @@ def spread(df: DataFrame) -> DataFrame:
     that fills the cores anyway is never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * TASK_BYTES else df
+    return df.repartition(cores) if planned_bytes(df) < cores * TASK_BYTES else df

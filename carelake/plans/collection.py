@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelake import schemas
+from carelake.operators.layout import planned_bytes
 from carelake.operators.upsert import compare_and_upsert, save_counts, upsert
-from carelake.session import cut_lineage
+from carelake.session import staged
 from carelake.sources import envelope
 
 ORDINAL = "ordinal"
+SMALL_BATCH_BYTES = 8 * 1024 * 1024  # below Spark's own limit for a broadcast
 
 
 def incoming_rows(normalised: DataFrame, table: str, unwrap: bool = False,
@@ -32,16 +34,20 @@ def incoming_rows(normalised: DataFrame, table: str, unwrap: bool = False,
 
 def collect(existing: DataFrame, normalised: DataFrame, table: str, as_of: Column,
             force: bool = False, unwrap: bool = False, stop_rule: bool = True) -> DataFrame:
-    """Next rows of ``table``; facility tables are compared first and carry an ``action``."""
-    rows = incoming_rows(normalised, table, unwrap, stop_rule)
-    keys = schemas.KEYS[table]
+    """Next rows of ``table``; facility tables are compared first and carry an ``action``.
+
+    The typed rows of the batch are written once, and their size decides how
+    the table is met.
+    """
+    rows = staged(incoming_rows(normalised, table, unwrap, stop_rule), f"incoming-{table}")
+    keys, small = schemas.KEYS[table], planned_bytes(rows) < SMALL_BATCH_BYTES
     if table in schemas.COMPARED:
-        return compare_and_upsert(existing, rows, keys, schemas.COMPARED[table], ORDINAL, as_of, force)
-    return upsert(existing, rows, keys, ORDINAL, as_of)
+        return compare_and_upsert(existing, rows, keys, schemas.COMPARED[table], ORDINAL, as_of, force, small)
+    return upsert(existing, rows, keys, ORDINAL, as_of, small)
 
 
 def collection_counts(existing: DataFrame, normalised: DataFrame, table: str,
                       force: bool = False, unwrap: bool = False) -> DataFrame:
-    rows = cut_lineage(incoming_rows(normalised, table, unwrap))  # counted in several ways
+    rows = staged(incoming_rows(normalised, table, unwrap), f"counted-{table}")
     return save_counts(existing, rows, schemas.KEYS[table], schemas.COMPARED.get(table, []), ORDINAL,
                        force or table not in schemas.COMPARED)

@@ -53,6 +53,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def staged(df, label: str):
+    """``df`` written once to the shared folder and read back, with its true size known."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut_lineage(df):
     """Reliable checkpoint of ``df``; survives the loss of executors."""
     shared_dir(df.sparkSession)

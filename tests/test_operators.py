@@ -124,8 +124,10 @@ def stamp(t):
     return F.lit(str(t)).cast("timestamp")
 
 
-def test_compare_and_upsert(spark):
-    got = upsert.compare_and_upsert(table(spark), incoming(spark), ["k"], ["a"], "n", stamp(NOW)).collect()
+@pytest.mark.parametrize("small", [False, True])
+def test_compare_and_upsert(spark, small):
+    got = upsert.compare_and_upsert(table(spark), incoming(spark), ["k"], ["a"], "n", stamp(NOW), small_batch=small).collect()
+    assert len(got) == 7
     assert {r.k: (r.action, r.a, r.b, r.created_at, r.updated_at) for r in got} == {
         "same": ("skipped", "1", "x", OLD, OLD), "changed": ("updated", "2", "x", OLD, NOW),
         "filled": ("updated", "1", "x", OLD, NOW), "cleared": ("updated", None, "x", OLD, NOW),
@@ -135,7 +137,7 @@ def test_compare_and_upsert(spark):
 
 def test_upsert_is_idempotent(spark):
     once = upsert.upsert(table(spark), incoming(spark), ["k"], "n", stamp(NOW))
-    twice = upsert.upsert(once, incoming(spark), ["k"], "n", stamp(NOW))
+    twice = upsert.upsert(once, incoming(spark), ["k"], "n", stamp(NOW), small_batch=True)
     assert sorted(once.collect()) == sorted(twice.collect())
     assert {r.k: r.b for r in once.collect()}["loose"] == "y"
 
