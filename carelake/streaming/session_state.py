@@ -28,6 +28,7 @@ EVENT_SCHEMA = ("session_id bigint, seq bigint, at timestamp, kind string, role
                 "context map<string,string>, missing string, reply string")
 OUTPUT = ("session_id bigint, seq bigint, kind string, outcome string, history_length bigint, "
           "context_size bigint, restarted boolean")
+COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -69,23 +70,21 @@ class SessionProcessor(StatefulProcessor):
             state.clear()
 
     def handleInputRows(self, key, rows, timerValues):
-        out, last = [], None
-        for frame in rows:
+        last = None
+        for frame in rows:  # one Arrow batch at a time, in and out
+            out = []
             for event in frame.sort_values("seq").itertuples(index=False):
-                last = int(event.at.value // 1000)
+                last = event.at.value // 1000
                 out.append(self._apply(key[0], event, last))
+            yield pd.DataFrame(out, columns=COLUMNS)
         if self.timers and last is not None:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
             self.handle.registerTimer((last + self.ttl_us) // 1000)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "kind", "outcome", "history_length",
-                                         "context_size", "restarted"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self._drop()
-        yield pd.DataFrame([(key[0], -1, "expired", None, 0, 0, True)],
-                           columns=["session_id", "seq", "kind", "outcome", "history_length",
-                                    "context_size", "restarted"])
+        yield pd.DataFrame([(key[0], -1, "expired", None, 0, 0, True)], columns=COLUMNS)
 
     def _apply(self, session, event, at_us):
         held = self.counts.get() if self.counts.exists() else (0, 0, 0, at_us)

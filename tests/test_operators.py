@@ -49,14 +49,14 @@ def scattered(n, centre, spread, seed, copies=0):
 
 
 @pytest.mark.parametrize("centre", [(37.5, 127.0), (0.0, 180.0), (89.97, 10.0), (-89.99, 0.0)])
-@pytest.mark.parametrize("order", ["distance", "tier"])
-def test_nearby_equals_brute_force(spark, centre, order):
+@pytest.mark.parametrize("order, levels", [("distance", None), ("tier", 1), ("distance", 3)])
+def test_nearby_equals_brute_force(spark, centre, order, levels):
     facilities = scattered(120, centre, 0.08, 1, copies=60) + [(900, None, 37.5, "병원")]
     points = [(p, lon, lat) for p, lon, lat, _ in scattered(60, centre, 0.1, 2)] + [(99, None, None)]
     got = nearby.nearby_facilities(
         spark.createDataFrame(points, "point_id int, lon double, lat double"),
         spark.createDataFrame(facilities, "facility_id int, lon double, lat double, kind string"),
-        5.0, 7, order=order)
+        5.0, 7, order=order, levels=levels)
     assert {(r.point_id, r.facility_id, r["rank"]) for r in got.collect()} == brute_nearby(
         points, facilities, 5.0, 7, order == "tier")
 
@@ -67,10 +67,12 @@ def test_nearby_hot_place(spark):
     points = [(i, 127.0 + i * 0.002, 37.5) for i in range(20)]
     got = nearby.nearby_facilities(
         spark.createDataFrame(points, "point_id int, lon double, lat double"),
-        spark.createDataFrame(facilities, "facility_id int, lon double, lat double, kind string"), 3.0, 5)
+        spark.createDataFrame(facilities, "facility_id int, lon double, lat double, kind string"), 3.0, 5, levels=4)
     assert {(r.point_id, r.facility_id, r["rank"]) for r in got.collect()} == brute_nearby(points, facilities, 3.0, 5)
     assert nearby.busiest_cell(spark.createDataFrame(facilities, "facility_id int, lon double, lat double, kind string"),
                                3.0, 8) >= 50
+    crowd = spark.range(3000).selectExpr("id AS facility_id", "127 + id / 1e7 AS lon", "37.5 AS lat")
+    assert nearby.levels_for(crowd, 3.0) > 1
 
 
 def test_prefer_open(spark):
