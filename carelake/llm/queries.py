@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carelake.llm import sharding, simhash, topk
+from carelake.llm import decontamination, sharding, simhash, topk
 from carelake.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 
 SHARDS = 40
@@ -52,3 +52,28 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 def op10_histogram_topk(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+_TEST_WORDS = ("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+               "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+
+@query("op9_positional_index", f"""
+WITH items AS (SELECT item_id, coalesce({_TEST_WORDS}, []) AS w FROM benchmark),
+cut AS (SELECT item_id, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+ FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM cut)),
+docs AS (SELECT doc_id, coalesce({_TEST_WORDS}, []) AS w FROM documents),
+grams AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+ FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, i, n, item_id FROM grams JOIN wins USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))
+ AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+ sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)""")
+def op9_positional_index(spark, sf):
+    found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
