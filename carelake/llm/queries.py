@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carelake.llm import decontamination, sharding, simhash, topk
+from carelake.llm import decontamination, licenses, sharding, simhash, topk
 from carelake.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 
 SHARDS = 40
@@ -77,3 +77,49 @@ def op9_positional_index(spark, sf):
     found = decontamination.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _license_sql() -> str:
+    """The same rules as a table, tried on every text without the prefilter."""
+    values = ",\n".join(f"({r['rule']}, {_sql_text(r['label'])}, {_sql_text(r['pattern'])}, {r['priority']}, "
+                        f"{r['confidence']})" for r in licenses.rules())
+    either = "|".join(licenses.spaced(p) for p in licenses.PHRASES)
+    labels = ", ".join(f"CASE WHEN contains(t, {_sql_text(licenses.spaced(p))}) THEN {_sql_text(label)} END"
+                       for p, label in licenses.PHRASES.items())
+    return f"""
+WITH rules(rule, label, pattern, priority, confidence) AS (VALUES {values}),
+lowered AS (SELECT row_number() OVER () AS row, doc_id, trim(regexp_replace(translate(coalesce(text, ''),
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.SEPARATORS}', ' ', 'g')) AS w FROM documents),
+texts AS (SELECT row, doc_id, CASE WHEN w = '' THEN '' ELSE ' ' || replace(w, ' ', '  ') || ' ' END AS t,
+ CASE WHEN w = '' THEN 0 ELSE len(string_split(w, ' ')) END AS n_words FROM lowered),
+base AS (SELECT row, doc_id, n_words, regexp_extract_all(t, '({either})') AS hits,
+ string_split_regex(t, '({either})') AS pieces, list_filter([{labels}], lambda x: x IS NOT NULL) AS base_labels FROM texts),
+tried AS (SELECT row, rule, label, priority, confidence, regexp_extract_all(t, pattern) AS hits,
+ string_split_regex(t, pattern) AS gaps FROM texts JOIN rules ON regexp_matches(t, pattern)),
+cells AS (SELECT row, rule, label, priority, confidence, len(hits[i]) AS n, list_sum(list_transform(gaps[1:i], lambda g: len(g)))
+ + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: len(h))), 0) AS start
+ FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM tried)),
+found AS (SELECT row, rule, label, priority, confidence, start, start + n AS stop FROM cells),
+outer_ones AS (SELECT * FROM found f WHERE NOT EXISTS (SELECT 1 FROM found g WHERE g.row = f.row AND
+ g.priority > f.priority AND g.start >= f.start AND g.stop <= f.stop)),
+kept AS (SELECT * FROM outer_ones f WHERE NOT EXISTS (SELECT 1 FROM outer_ones g WHERE g.row = f.row AND
+ g.priority >= f.priority AND g.start <= f.start AND g.stop >= f.stop AND
+ (g.start < f.start OR g.stop > f.stop OR g.priority > f.priority OR g.rule < f.rule))),
+best AS (SELECT row, list(DISTINCT label) AS more, max(confidence) AS score FROM kept GROUP BY row)
+SELECT doc_id, n_words, len(hits) AS n_base,
+ CASE WHEN len(hits) > 0 THEN len(regexp_extract_all(pieces[1], '[^ ]+')) END AS first_word,
+ CASE WHEN len(hits) > 0 THEN n_words - len(regexp_extract_all(pieces[-1], '[^ ]+'))
+  - len(regexp_extract_all(hits[-1], '[^ ]+')) END AS last_word,
+ array_to_string(list_sort(base_labels), ',') AS base_labels,
+ array_to_string(list_sort(list_distinct(list_concat(base_labels, coalesce(more, [])))), ',') AS labels,
+ CAST(coalesce(score, 0) AS DOUBLE) AS score FROM base LEFT JOIN best USING (row)"""
+
+
+@query("op6_license_rules", _license_sql())
+def op6_license_rules(spark, sf):
+    found = licenses.license_labels(table(spark, sf, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
