@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carelake.llm import decontamination, licenses, sharding, simhash, topk
+from carelake.llm import decontamination, licenses, pieces, secrets, sharding, simhash, topk
 from carelake.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 
 SHARDS = 40
@@ -123,3 +123,24 @@ SELECT doc_id, n_words, len(hits) AS n_base,
 def op6_license_rules(spark, sf):
     found = licenses.license_labels(table(spark, sf, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+@query("op7_unigram_pieces")
+def op7_unigram_pieces(spark, sf):
+    return pieces.encode_texts(table(spark, sf, "documents"), pieces.load_pieces())
+
+
+@query("op5_secret_field")
+def op5_secret_field(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = secrets.find_secrets(docs, secrets.train(secrets.sample_texts(docs)))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "field")
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+                        count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
