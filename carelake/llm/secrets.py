@@ -40,6 +40,7 @@ _KNOWN = 1 << 19
 _NAMES = ("password", "passwd", "secret", "token", "api")
 _HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 _VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_MIXED = str.maketrans("0123456789abcdef", "K3vQ9mZx7RbT2wLp")
 _EDGES = "\"'`.,;:!?()[]{}<>#%&*$|"
 
 
@@ -61,7 +62,8 @@ def base_spans(text: str, longest: int | None = None) -> list[tuple[int, str, in
 
 def _shape(core: str) -> str:
     kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in core[:64]]
-    return "".join(c for i, c in enumerate(kinds) if i == 0 or kinds[i - 1] != c)[:8]
+    turns = "".join(c for i, c in enumerate(kinds) if i == 0 or kinds[i - 1] != c)
+    return turns if len(turns) <= 4 else "many " + "".join(sorted(set(turns)))
 
 
 def features(token: str, words: frozenset | set) -> tuple[str, ...]:
@@ -166,9 +168,9 @@ def _tagged(text: str):
     starts = np.array([p[0] for p in places])
     for _, _, _, a, b in base_spans(text):
         first, last = np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b)
-        fresh = tags[first] == OUTSIDE
-        tags[first:last] = INSIDE
-        if fresh:
+        fresh = tags[first:last] == OUTSIDE
+        tags[first:last][fresh] = INSIDE
+        if fresh[0]:
             tags[first] = BEGIN
     return [text[a:b] for a, b in places], tags
 
@@ -184,7 +186,17 @@ def _examples(texts: list[str]):
         for i in sorted({*secret[:50].tolist(), *odd[::max(1, len(odd) // 8)], *spread}):
             first, last = max(upto, i - _AROUND), min(len(tokens), i + _AROUND + 1)
             if first < last and i >= upto:
-                yield tokens[first:last], tags[first:last], file_features(tokens, text.lower())
+                part, whole = tokens[first:last], file_features(tokens, text.lower())
+                yield part, tags[first:last], whole
+                own = tags[first:last]
+                if (own != OUTSIDE).any():
+                    # The same place with a value of mixed letters, and that without the name in front: neither hex
+                    # digits nor an assignment are all that makes a secret.
+                    mixed = [t if k == OUTSIDE else t.translate(_MIXED) for t, k in zip(part, own)]
+                    yield mixed, own, whole
+                    keep = [k != OUTSIDE or not (own[i + 1:i + 3] != OUTSIDE).any() for i, k in enumerate(own)]
+                    yield ([t for t, k in zip(mixed, keep) if k], own[keep],
+                           ("file plain", *(f for f in whole if f.startswith("file size"))))
                 upto = last
 
 
