@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import map_text, utf8
+from carelake.llm.common import map_text, utf8, words_of
 from carelake.session import staged
 
 #: Words of one index block; a longer document has a block of its own.
@@ -35,15 +35,6 @@ MAP_BITS = 1 << 22
 #: Words a task remembers the term of.
 _KNOWN = 1 << 20
 
-_KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
-_SPACED = bytes(b if b in _KEEP else 0x20 for b in range(256))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """Words of ASCII digits and letters, the latter lowered, and of all other characters past ASCII."""
-    return text.lower().translate(_SPACED).split()
-
-
 def _term(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 

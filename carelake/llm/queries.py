@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carelake.llm import decontamination, licenses, pieces, secrets, sharding, simhash, topk
+from carelake.llm import decontamination, licenses, pieces, secrets, sharding, simhash, topk, toxicity
 from carelake.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 
 SHARDS = 40
@@ -144,3 +144,11 @@ def op5_secret_field(spark, sf):
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
                         count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"),
                         joined(F.col("spans")).alias("spans"))
+
+
+@query("op4_ordinal_toxicity")
+def op4_ordinal_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = toxicity.severity(docs, toxicity.train(docs, table(spark, sf, "labels")))
+    return found.select("doc_id", "grade", F.round("severity", 6).alias("severity"),
+                        F.round("p_toxic", 6).alias("p_toxic"), (F.col("grade") > 0).alias("toxic"))
