@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from carelake.llm import decontamination, licenses, pieces, secrets, sharding, simhash, topk, toxicity
+from carelake.llm import (
+    decontamination, licenses, linededup, pieces, secrets, sharding, simhash, topk, toxicity,
+)
 from carelake.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 
 SHARDS = 40
@@ -152,3 +154,8 @@ def op4_ordinal_toxicity(spark, sf):
     found = toxicity.severity(docs, toxicity.train(docs, table(spark, sf, "labels")))
     return found.select("doc_id", "grade", F.round("severity", 6).alias("severity"),
                         F.round("p_toxic", 6).alias("p_toxic"), (F.col("grade") > 0).alias("toxic"))
+
+
+@query("op2_near_lines")
+def op2_near_lines(spark, sf):
+    return linededup.line_summary(table(spark, sf, "documents")).drop("key")
