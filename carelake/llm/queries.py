@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carelake.llm import (
-    decontamination, licenses, linededup, pieces, secrets, sharding, simhash, topk, toxicity,
+    decontamination, licenses, linededup, pieces, secrets, sharding, simhash, topk, toxicity, warc,
 )
 from carelake.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 
@@ -159,3 +159,55 @@ def op4_ordinal_toxicity(spark, sf):
 @query("op2_near_lines")
 def op2_near_lines(spark, sf):
     return linededup.line_summary(table(spark, sf, "documents")).drop("key")
+
+
+# Captures of the pages: a full response of each, and a revisit of each under another spelling of its URL. Some
+# revisits have another tag, some only a time, some nothing; some come before their page was first seen.
+_CAPTURES = """
+SELECT page_id * 2 AS record, url, page_id * 10 AS "at", 'response' AS kind, md5(coalesce(html, '')) AS digest,
+ '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS etag, 'day ' || CAST(page_id % 365 AS VARCHAR(9)) AS modified,
+ 'no-cache' AS cache, 'text/html' AS kind_of, CAST(NULL AS VARCHAR(9)) AS vary FROM pages
+UNION ALL
+SELECT page_id * 2 + 1, replace(replace(url, 'https://', 'HTTP://WWW.'), '#top', '') ||
+ CASE WHEN url LIKE '%?%' THEN '&utm_medium=mail' ELSE '' END,
+ page_id * 10 + CASE WHEN page_id % 7 = 0 THEN -5 ELSE 5 + page_id % 100 END, 'revisit', CAST(NULL AS VARCHAR(32)),
+ CASE WHEN page_id % 5 = 1 THEN '"other"' WHEN page_id % 5 < 3
+ THEN 'W/"' || substr(md5(coalesce(html, '')), 1, 16) || '"' END,
+ CASE WHEN page_id % 5 = 3 THEN 'day ' || CAST(page_id % 365 AS VARCHAR(9)) END, 'max-age=60', 'text/plain', 'accept' FROM pages"""
+
+
+@query("op1_revisit_resolution", f"""
+WITH captures AS ({_CAPTURES}),
+bare AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS u FROM captures),
+parts AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '{warc._START}([^/?]*)', 1)),
+ ':(80|443)$', ''), '^www\\.', '') AS host,
+ regexp_replace(regexp_extract(u, '{warc._START}[^/?]*([^?]*)', 1), '/+$', '') AS path,
+ array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'),
+  lambda p: p <> '' AND NOT regexp_matches(p, '{warc.TRACKING}'))), '&') AS asked FROM bare),
+named AS (SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END END
+ AS canonical FROM parts),
+met AS (SELECT *, CASE WHEN canonical IS NOT NULL THEN last_value(CASE WHEN kind = 'response' THEN record END IGNORE NULLS)
+ OVER (PARTITION BY canonical ORDER BY "at", kind DESC, record ROWS UNBOUNDED PRECEDING) END AS response FROM named),
+joined AS (SELECT v.*, r.digest AS r_digest, r.etag AS r_etag, r.modified AS r_modified,
+ CASE WHEN r.record IS NULL THEN 'missing' WHEN v.etag IS NOT NULL THEN
+  CASE WHEN regexp_replace(v.etag, '^W/', '') = regexp_replace(r.etag, '^W/', '') THEN 'resolved' ELSE 'changed' END
+  WHEN v.modified IS NOT NULL THEN CASE WHEN v.modified = r.modified THEN 'resolved' ELSE 'changed' END
+  ELSE 'unchecked' END AS outcome
+ FROM met v LEFT JOIN captures r ON r.record = v.response WHERE v.kind = 'revisit')
+SELECT record // 2 AS page_id, canonical AS url, "at", outcome, response // 2 AS response_page,
+ CASE WHEN outcome = 'resolved' THEN r_digest END AS digest,
+ 'cache-control=max-age=60;content-type=' || CASE WHEN outcome = 'resolved' THEN 'text/html' ELSE 'text/plain' END ||
+ coalesce(';etag=' || CASE WHEN outcome = 'resolved' THEN coalesce(etag, r_etag) ELSE etag END, '') ||
+ coalesce(';last-modified=' || CASE WHEN outcome = 'resolved' THEN coalesce(modified, r_modified) ELSE modified END, '') ||
+ ';vary=accept' AS headers FROM joined""")
+def op1_revisit_resolution(spark, sf):
+    captures = spark.sql(_CAPTURES.replace('"at"', "`at`").replace("FROM pages", "FROM {pages}"),
+                         pages=table(spark, sf, "pages"))
+    sent = {"etag": "etag", "last-modified": "modified", "cache-control": "cache", "content-type": "kind_of", "vary": "vary"}
+    headers = F.create_map(*[x for name, c in sent.items() for x in (F.lit(name), F.col(c))])
+    records = captures.select("record", "url", "at", "kind", "digest",
+                              F.map_filter(headers, lambda _, v: v.isNotNull()).alias("headers"))
+    found = warc.resolve_revisits(records)
+    pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return found.select(F.expr("record div 2").alias("page_id"), "url", "at", "outcome",
+                        F.expr("response div 2").alias("response_page"), "digest", F.array_join(pairs, ";").alias("headers"))
