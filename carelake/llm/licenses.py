@@ -101,7 +101,7 @@ cc-by-nd|creative commons attribution|creative commons attribution (noderivative
 openrail|responsible ai|responsible ai licen[sc]e|2|0.8
 lgpl|lesser|lesser general public licen[sc]e|1|0.6
 reserved|rights reserved|all rights reserved|2|0.7
-reserved|rights|no part of this( [0-9a-z]+)? may be reproduced|2|0.7
+reserved|reproduced|no part of this( [0-9a-z]+)? may be reproduced|2|0.7
 copyright|copyright|copyright( c)? (19|20)[0-9][0-9]|2|0.6
 copyright|copyright|copyright (c|by)|1|0.4
 proprietary|proprietary|proprietary and confidential|3|0.9
@@ -110,7 +110,7 @@ proprietary|trade secrets|contains( valuable)? trade secrets|2|0.7
 public-domain|public domain|(released|placed|dedicated) (in|into|to) the public domain|3|0.9
 public-domain|public domain|in the public domain|2|0.7
 permission|permission granted|permission is hereby granted( free of charge)?|2|0.6
-permission|permission granted|permission to use copy modify and( or)? distribute|3|0.7
+permission|permission distribute|permission to use copy modify and( or)? distribute|3|0.7
 warranty|warranty|without warranty of any kind|1|0.4
 warranty|warranties|without warranties or conditions of any kind|1|0.4
 redistribution|redistribution source|redistribution and use in source and binary forms|3|0.7

@@ -267,17 +267,28 @@ def _expected(scores, moves, tag):
 
 
 def sample_texts(docs: DataFrame, size: int = SAMPLE) -> list[str]:
-    """At most ``2 * size`` texts: those of the smallest hashes with a key word in them, and without."""
+    """At most ``2 * size`` texts: those of the smallest hashes with a key word in them, and without.
+
+    First only the hashes are ranked; then the texts of those that are chosen
+    are read, so what reaches the driver does not grow with the number of tasks
+    beyond the hashes.
+    """
     low = F.lower("text")
     named = low.contains(_NAMES[0])
     for name in _NAMES[1:]:
         named |= low.contains(name)
-    order = F.xxhash64("doc_id", "text")
-    rows = docs.where(F.col("text").isNotNull()).select("text", order.alias("h"), named.alias("named"))
-    found = []
+    rows = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("h"), named.alias("named"), "text")
+    ranked = rows.select("h", "named").distinct()
+    last = {}
     for side in (True, False):
-        found += [r["text"] for r in rows.where(F.col("named") == side).orderBy("h", "text").limit(size).collect()]
-    return found
+        found = [r["h"] for r in ranked.where(F.col("named") == side).orderBy("h").limit(size).collect()]
+        last[side] = max(found, default=None)
+    wanted = [(F.col("named") == side) & (F.col("h") <= h) for side, h in last.items() if h is not None]
+    if not wanted:
+        return []
+    chosen = rows.where(wanted[0] if len(wanted) == 1 else wanted[0] | wanted[1]).groupBy("named", "h").agg(
+        F.min("text").alias("text"))
+    return [r["text"] for r in chosen.orderBy(F.desc("named"), "h").collect()]
 
 
 def find_secrets(docs: DataFrame, field: Field) -> DataFrame:

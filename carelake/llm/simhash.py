@@ -11,7 +11,7 @@ within the radius is missed, which random bit samples cannot promise.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import and_
 
 import numpy as np
@@ -63,15 +63,23 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
                     "doc_id long, fp long")
 
 
-def masks(radius: int, turn: int = 0) -> list[int]:
-    """One bit mask per table, as signed 64-bit numbers; ``turn`` moves the vectors along."""
+@lru_cache
+def masks(radius: int, turn: int = 0) -> tuple[int, ...]:
+    """One bit mask per table, as signed 64-bit numbers; ``turn`` 1 gives the positions other vectors.
+
+    Of the ways to deal the vectors out in even steps, the one is taken whose
+    lightest mask keeps most bits, as short keys make large buckets.
+    """
     vectors = (1 << radius + 1) - 1
-    given = [1 + (i * (1 + 2 * turn) + turn * (i // vectors)) % vectors for i in range(_BITS)]
-    found = []
-    for v in range(1, vectors + 1):
-        mask = sum(1 << i for i in range(_BITS) if (given[i] & v).bit_count() % 2)
-        found.append(mask - (1 << _BITS) if mask >> _BITS - 1 else mask)
-    return found
+    odd = np.array([[(a & b).bit_count() % 2 for b in range(1, vectors + 1)] for a in range(1, vectors + 1)])
+    steps = sorted((-int(odd[:, _dealt(step, vectors)].sum(axis=1).min()), step) for step in range(1, vectors))
+    kept = np.ascontiguousarray(odd[:, _dealt(steps[min(turn, len(steps) - 1)][1], vectors)])
+    return tuple(int(x) for x in np.ascontiguousarray(np.packbits(kept.astype(np.uint8), axis=1, bitorder="little")).view("<i8").ravel())
+
+
+def _dealt(step: int, vectors: int) -> np.ndarray:
+    at = np.arange(_BITS)
+    return (at * step + at // vectors) % vectors
 
 
 def _keyed(rows: DataFrame, radius: int, turn: int, name: str) -> DataFrame:
