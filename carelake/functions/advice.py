@@ -66,20 +66,21 @@ def info_request(missing: Column) -> Column:
 
 
 def pharmacy_message(disease: Column, drugs: Column, pharmacies: Column) -> Column:
-    """``drugs`` is ``array<struct<item_name,entp_name>>``; ``pharmacies`` a count."""
+    """``drugs`` is ``array<struct<item_name,entp_name>>``; ``pharmacies`` a count. A null name is a blank, not a lost line."""
     lines = F.transform(drugs, lambda d, i: F.concat(
-        (i + 1).cast("string"), F.lit(". "), d["item_name"], F.lit(" ("), d["entp_name"], F.lit(")\n")))
+        (i + 1).cast("string"), F.lit(". "), metadata_default(d["item_name"]), F.lit(" ("),
+        metadata_default(d["entp_name"]), F.lit(")\n")))
     listed = F.when(F.size(drugs) > 0, F.concat(F.array_join(lines, ""), F.lit("\n"))).otherwise("")
     near = F.when(pharmacies > 0, F.concat(F.lit("가까운 약국 "), pharmacies.cast("string"),
                                            F.lit("곳을 확인하세요.\n\n"))).otherwise("")
-    return F.concat(F.lit("**"), disease, F.lit("** 추천 약품:\n\n"), listed, near,
+    return F.concat(F.lit("**"), metadata_default(disease), F.lit("** 추천 약품:\n\n"), listed, near,
                     F.lit(PHARMACIST_NOTE))
 
 
 def hospital_message(disease: Column, score: Column, reason: Column, hospitals: Column) -> Column:
     def text(head, tail, suffix, note):
-        return F.concat(F.lit(head), disease, F.lit(tail), F.lit("심각도: "), score.cast("string"),
-                        F.lit(f"/10점{suffix}\n사유: "), reason, F.lit("\n\n" + note))
+        return F.concat(F.lit(head), metadata_default(disease), F.lit(tail), F.lit("심각도: "), score.cast("string"),
+                        F.lit(f"/10점{suffix}\n사유: "), metadata_default(reason), F.lit("\n\n" + note))
     body = (F.when(score >= 9, text("⚠️ **", "**은 응급 상황입니다!\n\n", " (응급)", EMERGENCY_NOTE))
             .when(score >= 8, text("⚠️ **", "**은 병원 진료가 필요합니다.\n\n", "", SEVERE_NOTE))
             .otherwise(text("**", "** 증상 확인이 필요합니다.\n\n", "", MODERATE_NOTE)))

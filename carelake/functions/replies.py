@@ -32,8 +32,7 @@ def severity_decision(reply: Column) -> Column:
     return F.struct(
         F.when(ok, score).otherwise(DEFAULT_SCORE).alias("severity_score"),
         F.when(ok, choice).otherwise(DEFAULT_RECOMMENDATION).alias("recommendation"),
-        F.when(ok, F.try_variant_get(parsed, "$.reason", "string"))
-        .otherwise(DEFAULT_REASON).alias("reason"),
+        F.coalesce(F.when(ok, F.try_variant_get(parsed, "$.reason", "string")), F.lit(DEFAULT_REASON)).alias("reason"),
         ok.alias("parse_ok"))
 
 

@@ -29,22 +29,29 @@ def keyword_search(drugs: DataFrame, keywords: list[str], limit: int = 50,
     return active_drugs(drugs, otc_code, status).where(hit).orderBy("item_name", "item_seq").limit(limit)
 
 
+def same_value(column: Column, value) -> Column:
+    """Equal; text without regard to letter case, as the source database compares it."""
+    return F.lower(column) == F.lower(F.lit(value)) if isinstance(value, str) else column == F.lit(value)
+
+
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
-    return df.where(F.col(key) == F.lit(value))
+    return df.where(same_value(F.col(key), value))
 
 
 def lookup_all(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
-    """Point lookups for a whole frame of keys."""
-    keys = wanted.select(F.col(wanted_key).alias(key)).distinct()  # repeated keys collapse before the shuffle
-    return df.join(keys, key, "left_semi")
+    """Point lookups for a whole frame of keys; text keys without regard to letter case."""
+    text = dict(df.dtypes)[key] == "string"
+    keys = wanted.select((F.lower(wanted_key) if text else F.col(wanted_key)).alias("_wanted")).distinct()
+    own = F.lower(df[key]) if text else df[key]
+    return df.join(keys, own == keys["_wanted"], "left_semi")  # repeated keys collapse before the shuffle
 
 
 def by_region(df: DataFrame, province: str | None = None, district: str | None = None) -> DataFrame:
     """A district alone selects nothing less than everything, as it needs its province."""
     if province:
-        df = df.where(F.col("sido_cd_nm") == province)
+        df = df.where(same_value(F.col("sido_cd_nm"), province))
         if district:
-            df = df.where(F.col("sggu_cd_nm") == district)
+            df = df.where(same_value(F.col("sggu_cd_nm"), district))
     return df
 
 
@@ -53,7 +60,7 @@ def containing(df: DataFrame, column: str, text: str) -> DataFrame:
 
 
 def linked_to(df: DataFrame, hospital_id: str, column: str = "hira_ykiho") -> DataFrame:
-    return df.where(F.col(column) == hospital_id)
+    return df.where(same_value(F.col(column), hospital_id))
 
 
 def with_position(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -69,16 +76,16 @@ def updated_within(df: DataFrame, days: int, as_of: Column, column: str = "updat
 
 
 def matching(df: DataFrame, conditions: dict) -> DataFrame:
-    """AND of the conditions: null and '' are skipped, ``%`` means LIKE, a list means IN."""
+    """AND of the conditions: null and '' are skipped, ``%`` means LIKE, a list means IN; letter case never counts."""
     for name, value in conditions.items():
         if value is None or value == "":
             continue
         if isinstance(value, str) and "%" in value:
             df = df.where(F.col(name).ilike(value))
         elif isinstance(value, (list, tuple)):
-            df = df.where(F.col(name).isin(list(value)))
+            df = df.where(reduce(Column.__or__, [same_value(F.col(name), v) for v in value], F.lit(False)))
         else:
-            df = df.where(F.col(name) == F.lit(value))
+            df = df.where(same_value(F.col(name), value))
     return df
 
 

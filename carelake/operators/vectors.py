@@ -26,6 +26,9 @@ def _matrix(column) -> np.ndarray:
     arrays = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if len(arrays) == 0:
         return np.zeros((0, 0))
+    widths = np.unique(arrays.value_lengths().to_numpy(zero_copy_only=False))
+    if len(widths) > 1:
+        raise ValueError(f"embeddings of different widths: {widths.tolist()}")
     return arrays.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(arrays), -1)
 
 
@@ -44,6 +47,16 @@ def _rough(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return -(q @ v.T)
 
 
+def _slack(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """More than twice what rounding can change in the rough distances, per query."""
+    unit = 16 * np.finfo(np.float64).eps * (q.shape[1] + 8)
+    if metric == "cosine":
+        return np.full(len(q), 4 * unit)
+    own = np.einsum("ij,ij->i", q, q)
+    most = np.einsum("ij,ij->i", v, v).max(initial=0)
+    return unit * (own + most) if metric == "l2sq" else unit * np.sqrt(own * most)
+
+
 def _precise(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     """Distances of one query; equal vectors give equal values, so ids break ties."""
     if metric == "l2sq":
@@ -57,10 +70,16 @@ def _precise(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
 
 
 def block_best(q: np.ndarray, v: np.ndarray, vids: np.ndarray, k: int, metric: str):
-    """Per query row, the ids and distances of its k best in the block."""
+    """Per query row, the ids and distances of its k best in the block.
+
+    Distances do not change when both sides move, but their rounding does: it
+    grows with the norms. So the block is moved to its own centre first.
+    """
+    centre = v.mean(axis=0) if metric == "l2sq" and len(v) else 0
+    near, there = q - centre, v - centre
     for start in range(0, len(q), SLICE):
-        rough = _rough(q[start:start + SLICE], v, metric)
-        margin = 1e-9 * (1 + np.abs(rough).max(axis=1))
+        rough = _rough(near[start:start + SLICE], there, metric)
+        margin = _slack(near[start:start + SLICE], there, metric)
         edge = (np.partition(rough, k - 1, axis=1)[:, k - 1] if v.shape[0] > k
                 else rough.max(axis=1)) + margin
         for i, row in enumerate(rough):
@@ -96,14 +115,17 @@ def _scan_few(qids: np.ndarray, q: np.ndarray, k: int, metric: str):
 
 def _assign(centres: np.ndarray, unit: bool):
     """Nearest centre and distance to it, for each row."""
+    middle = centres.mean(axis=0)
+
     def assign(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = _matrix(batch.column("embedding"))
-            d = _rough(_unit(v) if unit else v, centres, "l2sq")
-            near = d.argmin(axis=1)
-            dist = np.sqrt(np.maximum(d[np.arange(len(near)), near], 0))
+            own = _unit(v) if unit else v
+            near = _rough(own - middle, centres - middle, "l2sq").argmin(axis=1)
+            gap = own - centres[near]  # any near centre will do, but the distance to it must be right
+            dist = np.sqrt(np.einsum("ij,ij->i", gap, gap)) * (1 + 1e-9)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), batch.column("embedding"),
                  pa.array(near, pa.int32()), pa.array(dist, pa.float64())],
@@ -111,22 +133,38 @@ def _assign(centres: np.ndarray, unit: bool):
     return assign
 
 
-def _route(centres: np.ndarray, radius: np.ndarray, held: np.ndarray, k: int, unit: bool, prune: bool):
-    """The clusters each query must visit, by the triangle inequality."""
+def _reach(q: np.ndarray, centres: np.ndarray, radius: np.ndarray, metric: str):
+    """Least and most distance of each query to the vectors of each cluster.
+
+    By the triangle inequality for lengths, and by that of Cauchy and Schwarz
+    for products; rounding is allowed for on both sides.
+    """
+    if metric == "dot":
+        product = q @ centres.T
+        give = np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * radius + _slack(q, centres, metric)[:, None]
+        return -product - give, -product + give
+    own = _unit(q) if metric == "cosine" else q
+    middle = centres.mean(axis=0)
+    square = _rough(own - middle, centres - middle, "l2sq")
+    slack = _slack(own - middle, centres - middle, "l2sq")[:, None]
+    low, high = np.sqrt(np.maximum(square - slack, 0)), np.sqrt(np.maximum(square + slack, 0))
+    return low - radius, high + radius
+
+
+def _route(centres: np.ndarray, radius: np.ndarray, held: np.ndarray, k: int, metric: str):
+    """The clusters each query must visit: those that may hold something as near as k vectors surely are."""
     def route(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             q = _matrix(batch.column("embedding"))
-            d = np.sqrt(np.maximum(_rough(_unit(q) if unit else q, centres, "l2sq"), 0))
-            far = d + radius
+            least, far = _reach(q, centres, radius, metric)
             order = np.argsort(far, axis=1)
             total = np.cumsum(held[order], axis=1)
             at = np.minimum((total < k).sum(axis=1), len(held) - 1)
             bound = np.take_along_axis(far, order, 1)[np.arange(len(at)), at]
             bound = np.where(total[:, -1] < k, np.inf, bound)
-            visit = (d - radius <= bound[:, None] * (1 + 1e-6) + 1e-6) if prune \
-                else np.ones_like(d, bool)
+            visit = least <= bound[:, None] + 1e-12 * np.abs(bound[:, None])
             row, cluster = np.nonzero(visit & (held > 0))
             taken = pa.array(row)
             yield pa.RecordBatch.from_arrays(
@@ -152,7 +190,9 @@ def _meet(k: int, metric: str):
 
 
 def _vector_rows(df: DataFrame, id_name: str) -> DataFrame:
-    return df.select(F.col(id_name).cast("bigint").alias(id_name),
+    """Ids and vectors; rows without a vector, or with a gap in it, take no part."""
+    whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", F.isnull)
+    return df.where(whole).select(F.col(id_name).cast("bigint").alias(id_name),
                      F.col("embedding").cast("array<double>").alias("embedding"))
 
 
@@ -209,7 +249,7 @@ def _in_blocks(queries: DataFrame, catalogue: DataFrame, k: int, metric: str,
     chunks = max(1, math.ceil(queries.count() / block_rows))
     blocks = F.array(*[F.lit(max(1, math.ceil(int(n) / block_rows))) for n in held])
     routed = queries.mapInArrow(
-        _route(centres, radius, held, k, unit, metric != "dot"),
+        _route(centres, radius, held, k, metric),
         "query_id bigint, embedding array<double>, cluster int")
     per_cluster = F.get(blocks, F.col("cluster"))
     left = routed.withColumns({

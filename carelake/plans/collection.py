@@ -11,25 +11,49 @@ from carelake.operators.upsert import compare_and_upsert, save_counts, upsert
 from carelake.session import staged
 from carelake.sources import envelope
 
-ORDINAL = "ordinal"
+ORDINAL, UNREADABLE = "ordinal", "unreadable"
 SMALL_BATCH_BYTES = 8 * 1024 * 1024  # below Spark's own limit for a broadcast
 
 
-def incoming_rows(normalised: DataFrame, table: str, unwrap: bool = False,
-                  stop_rule: bool = True) -> DataFrame:
-    """Typed rows of ``table``, with an ordinal over page and item.
+def typed_rows(normalised: DataFrame, table: str, unwrap: bool = False,
+               stop_rule: bool = True) -> DataFrame:
+    """Typed rows of ``table`` with an ordinal, and ``unreadable``: the columns whose text is no value of their type.
 
     ``stop_rule`` takes the pages a paged fetch would have taken; without it
-    every readable page counts, as when pages land in pieces.
+    every readable page counts, as when pages land in pieces. The ordinal is
+    the landing time, if the pages have one, then page and item, then the
+    content, so that equal places give the same row on every run.
     """
     stamps = ("created_at", "updated_at")
     names = [c for c in schemas.column_names(table) if c not in stamps]
     types = {f.name: f.dataType.simpleString() for f in schemas.schema(table)}
     pages = envelope.taken_pages(normalised) if stop_rule else normalised
     rows = envelope.item_rows(pages, unwrap)
-    raw = envelope.fields(rows, names, ["page_no", "item_no"])
+    landed = ["landed"] if "landed" in rows.columns else []
+    raw = envelope.fields(rows, names, [*landed, "page_no", "item_no"])
+    broken = ", ".join(f"if(`{c}` IS NOT NULL AND try_cast(`{c}` AS {types[c]}) IS NULL, struct('{c}' AS name, `{c}` AS text), NULL)"
+                       for c in names if types[c] != "string")
+    none = "CAST(array() AS array<struct<name:string,text:string>>)"
+    content = ", ".join(f"`{c}`" for c in names)
     return raw.selectExpr(*[f"try_cast(`{c}` AS {types[c]}) AS `{c}`" for c in names],
-                          f"struct(page_no, item_no) AS {ORDINAL}")
+                          f"struct({', '.join([*landed, 'page_no', 'item_no'])}, xxhash64({content}) AS content) AS {ORDINAL}",
+                          f"{f'array_compact(array({broken}))' if broken else none} AS {UNREADABLE}")
+
+
+def readable(rows: DataFrame) -> DataFrame:
+    """The rows that may be written: a value that cannot be read must not overwrite one that could."""
+    return rows.where(F.size(UNREADABLE) == 0).drop(UNREADABLE)
+
+
+def quarantined_values(rows: DataFrame, table: str) -> DataFrame:
+    """``table_name``, the key columns, ``name`` and ``text`` of each value of ``typed_rows`` that cannot be read."""
+    return rows.select(F.lit(table).alias("table_name"), *schemas.KEYS[table], F.inline(UNREADABLE))
+
+
+def incoming_rows(normalised: DataFrame, table: str, unwrap: bool = False,
+                  stop_rule: bool = True) -> DataFrame:
+    """The typed rows of ``table`` that may be written, with their ordinal."""
+    return readable(typed_rows(normalised, table, unwrap, stop_rule))
 
 
 def collect(existing: DataFrame, normalised: DataFrame, table: str, as_of: Column,
@@ -48,6 +72,11 @@ def collect(existing: DataFrame, normalised: DataFrame, table: str, as_of: Colum
 
 def collection_counts(existing: DataFrame, normalised: DataFrame, table: str,
                       force: bool = False, unwrap: bool = False) -> DataFrame:
-    rows = staged(incoming_rows(normalised, table, unwrap), f"counted-{table}")
-    return save_counts(existing, rows, schemas.KEYS[table], schemas.COMPARED.get(table, []), ORDINAL,
-                       force or table not in schemas.COMPARED)
+    """Counts by outcome; rows that hold an unreadable value are errors, as those without a key are."""
+    rows = staged(typed_rows(normalised, table, unwrap), f"counted-{table}")
+    counts = save_counts(existing, readable(rows), schemas.KEYS[table], schemas.COMPARED.get(table, []), ORDINAL,
+                         force or table not in schemas.COMPARED)
+    broken = F.count(F.when(F.size(UNREADABLE) > 0, 1))
+    none = F.lit(0).cast("long")
+    errors = rows.agg(*[(broken if c in ("total_count", "error_count") else none).alias(c) for c in counts.columns])
+    return counts.unionByName(errors).agg(*[F.sum(c).alias(c) for c in counts.columns])

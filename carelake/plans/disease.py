@@ -13,8 +13,6 @@ from carelake.operators.redirects import resolve_chains
 from carelake.operators.upsert import newest
 from carelake.session import cut_lineage
 
-ALIASES_PER_ROW = 50_000
-
 
 def redirect_edges(dump: DataFrame) -> DataFrame:
     """``src, tgt``: the last redirect line of a title counts."""
@@ -42,18 +40,9 @@ def alias_rows(resolved: DataFrame) -> DataFrame:
     return resolved.select(end.alias("canonical_title"), F.col("src").alias("alias"))
 
 
-def alias_sets(rows: DataFrame, per_row: int = ALIASES_PER_ROW) -> DataFrame:
-    """Sorted alias arrays. A title with more than ``per_row`` aliases gets several parts.
-
-    No alias is left out and no task ever holds more than about ``per_row`` of
-    one title; nearly every title has the single part 0.
-    """
-    sizes = rows.groupBy("canonical_title").agg(F.count(F.lit(1)).alias("alias_count"))
-    parts = F.ceil(F.col("alias_count") / F.lit(per_row)).cast("int")
-    return (rows.join(sizes, "canonical_title")
-            .withColumn("part", F.pmod(F.xxhash64("alias"), parts).cast("int"))
-            .groupBy("canonical_title", "part")
-            .agg(F.sort_array(F.collect_set("alias")).alias("aliases")))
+def alias_sets(rows: DataFrame) -> DataFrame:
+    """``canonical_title, aliases``: one sorted array per title. ``alias_rows`` is the form without a limit of a row."""
+    return rows.groupBy("canonical_title").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
 
 
 def disease_titles(dump: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,16 +60,16 @@ def disease_titles(dump: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def disease_master(dump: DataFrame, provider: str, snapshot: str | None) -> DataFrame:
-    """One row per canonical title: common name, alias count, symptoms, sources.
+    """One row per canonical title: common name, aliases and their count, symptoms, sources.
 
-    The common name is the first alias in order. The aliases themselves are in
-    ``alias_rows``, or as arrays in ``alias_sets``.
+    The common name is the first alias in order.
     """
     titles, aliases = disease_titles(dump)
-    named = aliases.groupBy("canonical_title").agg(
-        F.min("alias").alias("common_name"), F.count_distinct("alias").alias("alias_count"))
+    named = alias_sets(aliases)
+    none = F.array().cast("array<string>")
     return titles.join(named, "canonical_title", "left").select(
-        "canonical_title", "common_name", F.coalesce("alias_count", F.lit(0)).alias("alias_count"),
+        "canonical_title", F.get("aliases", F.lit(0)).alias("common_name"), F.coalesce("aliases", none).alias("aliases"),
+        F.size(F.coalesce("aliases", none)).cast("long").alias("alias_count"),
         F.coalesce("symptom_text", F.lit("")).alias("symptom_text"), "source_titles_count",
         F.lit(provider).alias("source_provider"), F.lit(snapshot).alias("source_snapshot"))
 

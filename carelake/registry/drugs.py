@@ -24,11 +24,6 @@ def keyword_search(spark, sf):
         "item_seq", "item_name", "material_name", "class_no")
 
 
-@query("keyword_search_without_words", "SELECT p_partkey AS item_seq FROM part WHERE FALSE")
-def keyword_search_without_words(spark, sf):
-    return filters.keyword_search(standin(spark, sf, "drugs"), []).select("item_seq")
-
-
 @query("otc_catalogue", with_sql("drugs") + """
 SELECT item_seq, item_name FROM drugs WHERE etc_otc_code = '02' AND cancel_name IS NULL ORDER BY item_name, item_seq""")
 def otc_catalogue(spark, sf):

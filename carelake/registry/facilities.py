@@ -145,7 +145,7 @@ UNION ALL SELECT 'district', id, yadm_nm FROM registry WHERE sido_cd_nm = 'ASIA'
 UNION ALL SELECT 'district_only', id, yadm_nm FROM registry""")
 def facilities_by_region(spark, sf):
     rows = _registry(spark, sf)
-    picks = {"all": (None, None), "province": ("ASIA", None), "district": ("ASIA", "NATION_2"),
+    picks = {"all": (None, None), "province": ("Asia", None), "district": ("asia", "Nation_2"),
              "district_only": (None, "NATION_2")}
     parts = [filters.by_region(rows, *p).select(F.lit(n).alias("picked"), "id", "yadm_nm") for n, p in picks.items()]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
@@ -195,14 +195,14 @@ def key_lookup(spark, sf):
 
 @query("user_by_email", with_sql("people") + "SELECT id, name, email FROM people WHERE email = 'u77@example.org'")
 def user_by_email(spark, sf):
-    return filters.lookup(standin(spark, sf, "people"), "email", "u77@example.org").select("id", "name", "email")
+    return filters.lookup(standin(spark, sf, "people"), "email", "U77@Example.ORG").select("id", "name", "email")
 
 
 @query("condition_map", """
 SELECT p_partkey, p_name FROM part
 WHERE p_type = 'ECONOMY' AND p_name ILIKE '%ring%' AND p_size IN (5, 11, 17, 23, 29)""")
 def condition_map(spark, sf):
-    conditions = {"p_type": "ECONOMY", "p_name": "%ring%", "p_size": [5, 11, 17, 23, 29], "p_brand": "",
+    conditions = {"p_type": "Economy", "p_name": "%ring%", "p_size": [5, 11, 17, 23, 29], "p_brand": "",
                   "p_retailprice": None}
     return filters.matching(table(spark, sf, "part"), conditions).select("p_partkey", "p_name")
 

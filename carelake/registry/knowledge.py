@@ -122,20 +122,22 @@ def disease_aliases(spark, sf):
 @query("alias_sets", _ALIASES + """
 SELECT canonical_title, string_agg(alias, '|' ORDER BY alias) AS aliases FROM aliases GROUP BY 1""")
 def alias_sets(spark, sf):
-    """Aliases of every end title, in one part each at the default size."""
+    """Aliases of every end title."""
     edges = resolve_chains(disease.redirect_edges(wiki_dump(spark, sf)))
     sets = disease.alias_sets(disease.alias_rows(edges))
     return sets.select("canonical_title", F.array_join("aliases", "|").alias("aliases"))
 
 
 @query("disease_master", _ALIASES + """
-SELECT canonical_title, common_name, coalesce(alias_count, 0) AS alias_count, symptom_text,
+SELECT canonical_title, common_name, coalesce(alias_count, 0) AS alias_count, coalesce(aliases, '') AS aliases, symptom_text,
   1 AS source_titles_count, 'wiki' AS source_provider, '20240115' AS source_snapshot
-FROM d LEFT JOIN (SELECT canonical_title, min(alias) AS common_name, count(*) AS alias_count
+FROM d LEFT JOIN (SELECT canonical_title, min(alias) AS common_name, count(*) AS alias_count,
+                  string_agg(alias, '|' ORDER BY alias) AS aliases
                   FROM aliases GROUP BY 1) USING (canonical_title)""".replace(
     "SELECT canonical_title, common_name", "SELECT d.canonical_title, common_name"))
 def disease_master(spark, sf):
-    return disease.disease_master(wiki_dump(spark, sf), "wiki", "20240115")
+    found = disease.disease_master(wiki_dump(spark, sf), "wiki", "20240115")
+    return found.withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @query("title_keys", f"""

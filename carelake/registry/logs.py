@@ -31,12 +31,15 @@ def table_stats(spark, sf):
         "last_updated", F.unix_micros(F.col("last_updated").cast("timestamp")))
 
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
 @query("dashboard", " UNION ALL ".join(
     _stats("events", "ts", f"event_type = '{t}'").replace("SELECT", f"SELECT '{t}' AS source,", 1)
-    for t in ("click", "view", "error")))
+    for t in EVENT_TYPES))
 def dashboard(spark, sf):
     events = table(spark, sf, "events")
-    tables = {t: events.where(F.col("event_type") == t) for t in ("click", "view", "error")}
+    tables = {t: events.where(F.col("event_type") == t) for t in EVENT_TYPES}
     return rollups.dashboard(tables, _as_of(), "ts").withColumn("last_updated", F.unix_micros(F.col("last_updated").cast("timestamp")))
 
 

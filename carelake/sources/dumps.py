@@ -14,14 +14,16 @@ def read_dump(spark: SparkSession, path: str, title_key: str = "title",
               text_key: str = "text") -> DataFrame:
     """``title, text, ordinal, snapshot``; blank, broken and empty lines are skipped.
 
-    Plain and gzip files are told apart by their extension. ``ordinal`` grows
-    along each file and with the file order.
+    Plain and gzip files are told apart by their extension. ``ordinal`` is a
+    struct that grows along each file and from file to file by path, however
+    Spark packs the files into tasks.
     """
     schema = T.StructType([T.StructField(title_key, T.StringType()),
                            T.StructField(text_key, T.StringType())])
     rows = (spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
             .select(strip(F.col(title_key)).alias("title"), strip(F.col(text_key)).alias("text"),
-                    F.monotonically_increasing_id().alias("ordinal"),
+                    F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                             F.monotonically_increasing_id().alias("row")).alias("ordinal"),
                     snapshot_tag(F.input_file_name()).alias("snapshot")))
     return rows.where("title <> '' AND text <> ''")
 

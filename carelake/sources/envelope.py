@@ -51,7 +51,8 @@ def normalise(pages: DataFrame) -> DataFrame:
     body = F.col("node")
     keys = F.map_keys(_at(body, "$", "map<string,variant>"))
     numeric = (F.size(keys) > 0) & F.forall(keys, lambda k: k.rlike(NUMERIC_KEY))
-    error_page = F.contains("payload", F.lit(ERROR_TAG))
+    # Only a payload that is no JSON can be an error page; a readable one may well hold the tag as text.
+    error_page = body.isNull() & F.contains("payload", F.lit(ERROR_TAG))
     shape = (F.when(error_page, "xml_error")
              .when(body.isNull(), "unreadable")
              .when(_at(body, "$", LIST).isNotNull(), "array")
@@ -104,8 +105,9 @@ def quarantine(normalised: DataFrame) -> DataFrame:
 
 def item_rows(normalised: DataFrame, unwrap: bool = False) -> DataFrame:
     """One row per item, with its place; ``unwrap`` opens one more ``item`` level."""
+    landed = ["landed"] if "landed" in normalised.columns else []
     rows = normalised.select(  # an unreadable page has no items
-        "source", "page_no", F.posexplode("items").alias("item_no", "item"))
+        "source", "page_no", *landed, F.posexplode("items").alias("item_no", "item"))
     return rows.withColumn("item", _at(F.col("item"), "$.item")) if unwrap else rows
 
 
@@ -126,10 +128,17 @@ def fields(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
 
 
 def ledger(normalised: DataFrame) -> DataFrame:
-    """One narrow row per landed page, written once: the stop rule reads it several times."""
-    return cut_lineage(normalised.select(
-        "source", "page_no", "batch_size", "item_count", "total_count",
-        (F.col("error").isNotNull() | (F.col("item_count") == 0)).alias("bad")))
+    """One narrow row per page, written once: the stop rule reads it several times.
+
+    A page that landed more than once counts once: the newest, or without a
+    ``landed`` column a readable one with the most items.
+    """
+    bad = F.col("error").isNotNull() | (F.col("item_count") == 0)
+    newer = [F.col("landed")] if "landed" in normalised.columns else []
+    rank = F.struct(*newer, (~bad).alias("ok"), "item_count", "total_count", "batch_size")
+    best = normalised.groupBy("source", "page_no").agg(F.max(rank).alias("r"))
+    return cut_lineage(best.select(
+        "source", "page_no", "r.batch_size", "r.item_count", "r.total_count", (~F.col("r.ok")).alias("bad")))
 
 
 def page_plan(pages: DataFrame, max_pages: int = 0) -> DataFrame:

@@ -3,26 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from carelake.plans.collection import collect
 from carelake.sources.envelope import normalise
 from carelake.sources.snapshots import read_snapshot, write_snapshot
 
-PAGE_SCHEMA = "source string, page_no bigint, batch_size bigint, payload string"
+PAGE_SCHEMA = "source string, page_no bigint, batch_size bigint, payload string, landed timestamp"
 
 
 def run(spark: SparkSession, landing: str, base: str, table: str, as_of: Column, progress: str,
-        files_per_run: int = 1000, force: bool = False, unwrap: bool = False) -> None:
+        files_per_run: int = 1000, force: bool = False, unwrap: bool = False, source: str | None = None) -> None:
     """Take the pages that landed since the last call and stop.
 
     Run ``n`` of the stream reads snapshot ``n`` and writes snapshot ``n + 1``,
     so a repeated run overwrites its own half-written output with the same
     rows, and the upsert makes pages that land twice harmless. Every readable
     page counts, as the pages of a source may land in different runs. The
-    clock that calls this is the caller's.
+    clock that calls this is the caller's. Of several collections in one run
+    the one that landed last wins; ``source`` takes the pages of one source.
     """
     pages = (spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_run)
              .parquet(landing))
+    if source is not None:
+        pages = pages.where(F.col("source") == source)
 
     def apply(batch: DataFrame, run_no: int) -> None:
         session = batch.sparkSession

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from carelake import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -19,10 +20,11 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLE)
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.ORACLE) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, con, name):
     text, _, good = check.compare(spark, con, SF_DIR, name)
     assert good, text

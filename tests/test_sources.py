@@ -140,13 +140,11 @@ def test_disease_master(spark):
     assert got["위염"].symptom_text == "" and got["독감"].common_name is None
 
 
-def test_alias_sets_split_and_whole(spark):
+def test_alias_sets_are_one_row_each(spark):
     rows = spark.range(1000).selectExpr("'hot' AS canonical_title", "CAST(id AS STRING) AS alias").union(
         spark.sql("SELECT 'small', 'b'")).union(spark.sql("SELECT 'small', 'a'"))
-    got = disease.alias_sets(rows, per_row=100).collect()
-    hot = [a for r in got if r.canonical_title == "hot" for a in r.aliases]
-    assert sorted(hot) == sorted(str(i) for i in range(1000)) and sum(r.canonical_title == "hot" for r in got) == 10
-    assert [r.aliases for r in got if r.canonical_title == "small"] == [["a", "b"]]
+    got = {r.canonical_title: r.aliases for r in disease.alias_sets(rows).collect()}
+    assert got == {"hot": sorted(str(i) for i in range(1000)), "small": ["a", "b"]}
 
 
 def test_scan_is_pushed_down(spark, tmp_path):
