@@ -8,14 +8,18 @@ Events ``(session_id, seq, at, kind, role, content, context, missing, reply)``:
 * ``ask``      notes which facts are awaited (``missing``, comma-separated),
 * ``close``    drops everything.
 
-History goes to a list that is only appended to, so a long session costs one
-write per message. Silence of ``ttl`` seconds by event time drops the state
-when the next event arrives; in event-time mode a timer frees it earlier.
+``seq`` counts the events of a session from 0 without gaps. An event is applied
+when all before it have been, however files, runs and Arrow batches deal them
+out; one that comes too early waits in state. History goes to a list that is
+only appended to, so a long session costs one write per message. Silence of
+``ttl`` seconds by event time drops the state when the next event arrives; in
+event-time mode a timer frees it earlier, after the events that still wait.
 """
 
 from __future__ import annotations
 
 import json
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -52,15 +56,30 @@ def read_answer(reply) -> dict | None:
         return None
 
 
+class Event(NamedTuple):
+    """One event as state holds it: time in microseconds, context as JSON."""
+
+    us: int
+    kind: str
+    role: str | None
+    content: str | None
+    context: str | None
+    missing: str | None
+    reply: str | None
+
+
 class SessionProcessor(StatefulProcessor):
-    """State of one session; the rows of a run are taken in the order of ``seq`` per batch."""
+    """State of one session; events are applied in the order of ``seq``, whatever the order they come in."""
 
     def __init__(self, ttl_seconds: int = TTL_SECONDS, timers: bool = False):
         self.ttl_us, self.timers = ttl_seconds * 1_000_000, timers
 
     def init(self, handle):
         self.handle = handle
-        self.counts = handle.getValueState("counts", "messages long, users long, chars long, last_us long")
+        self.counts = handle.getValueState("counts", "messages long, users long, chars long, last_us long, facts long")
+        self.turn = handle.getValueState("turn", "seq long")
+        self.early = handle.getMapState("early", "seq long", "us long, kind string, role string, content string, "
+                                        "context string, missing string, reply string")
         self.history = handle.getListState("history", "seq long, role string, content string")
         self.context = handle.getMapState("context", "key string", "value string")
         self.waiting = handle.getValueState("waiting", "missing string")
@@ -71,57 +90,86 @@ class SessionProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         last = None
+        turn = self.turn.get()[0] if self.turn.exists() else 0
         for frame in rows:  # one Arrow batch at a time, in and out
             out = []
-            for event in frame.sort_values("seq").itertuples(index=False):
-                last = event.at.value // 1000
-                out.append(self._apply(key[0], event, last))
+            for row in frame.sort_values("seq").itertuples(index=False):
+                event = (row.at.value // 1000, row.kind, row.role, row.content,
+                         json.dumps(dict(row.context)) if row.context is not None else None, row.missing, row.reply)
+                last = event[0] if last is None else max(last, event[0])
+                if row.seq < turn:  # applied before: the same event once more
+                    out.append((key[0], int(row.seq), row.kind, "repeated", None, None, False))
+                    continue
+                if row.seq > turn:
+                    self.early.updateValue((int(row.seq),), event)
+                    continue
+                out.append(self._apply(key[0], turn, Event(*event)))
+                turn += 1
+                while self.early.containsKey((turn,)):
+                    out.append(self._apply(key[0], turn, Event(*self.early.getValue((turn,)))))
+                    self.early.removeKey((turn,))
+                    turn += 1
             yield pd.DataFrame(out, columns=COLUMNS)
+        self.turn.update((turn,))
         if self.timers and last is not None:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
             self.handle.registerTimer((last + self.ttl_us) // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """What waits for an event that never came is applied in order; then only the number of the next event stays."""
+        out = []
+        for (seq,) in sorted(self.early.keys()):
+            out.append(self._apply(key[0], seq, Event(*self.early.getValue((seq,)))))
+            self.turn.update((seq + 1,))
+        self.early.clear()
         self._drop()
-        yield pd.DataFrame([(key[0], -1, "expired", None, 0, 0, True)], columns=COLUMNS)
+        out.append((key[0], -1, "expired", None, 0, 0, True))
+        yield pd.DataFrame(out, columns=COLUMNS)
 
-    def _apply(self, session, event, at_us):
-        held = self.counts.get() if self.counts.exists() else (0, 0, 0, at_us)
-        messages, users, chars, last_us = held
-        restarted = self.counts.exists() and at_us - last_us >= self.ttl_us
+    def _apply(self, session, seq, event):
+        held = self.counts.get() if self.counts.exists() else (0, 0, 0, event.us, 0)
+        messages, users, chars, last_us, facts = held
+        restarted = self.counts.exists() and event.us - last_us >= self.ttl_us
         if restarted or event.kind == "close":
             self._drop()
-            messages = users = chars = 0
+            messages = users = chars = facts = 0
         outcome = None
         if event.kind == "message":
-            outcome = self._answer(event) if event.role == "user" else None
+            if event.role == "user":
+                outcome, more = self._answer(event)
+                facts += more
             outcome = outcome or stage(messages, users, chars)
-            self.history.appendValue((int(event.seq), event.role, event.content))
+            self.history.appendValue((seq, event.role, event.content))
             messages += 1
             if event.role == "user":
-                users, chars = users + 1, chars + len(event.content)
+                users, chars = users + 1, chars + len(event.content or "")
         elif event.kind == "context":
-            for name, value in dict(event.context).items():
-                self.context.updateValue((name,), (value,))
+            facts += self._merge(json.loads(event.context or "{}"))
         elif event.kind == "ask":
             self.waiting.update((event.missing,))
         if event.kind != "close":
-            self.counts.update((messages, users, chars, at_us))
-        size = sum(1 for _ in self.context.keys()) if self.context.exists() else 0
-        return session, int(event.seq), event.kind, outcome, messages, size, bool(restarted)
+            self.counts.update((messages, users, chars, event.us, facts))
+        return session, seq, event.kind, outcome, messages, facts, bool(restarted)
 
-    def _answer(self, event) -> str | None:
-        """A user message while facts are awaited: taken, or asked again."""
+    def _merge(self, facts: dict) -> int:
+        """Later values win; gives how many names are new, so that the facts need not be counted again."""
+        fresh = 0
+        for name, value in facts.items():
+            fresh += not self.context.containsKey((name,))
+            self.context.updateValue((name,), (value,))
+        return fresh
+
+    def _answer(self, event) -> tuple[str | None, int]:
+        """A user message while facts are awaited: taken, or asked again; and how many facts are new."""
         if not self.waiting.exists():
-            return None
+            return None, 0
         facts = read_answer(event.reply)
         if facts is None:
-            return "ask_again"
-        for name, value in facts.items():
-            self.context.updateValue((name,), (json.dumps(value),))
+            return "ask_again", 0
+        fresh = self._merge({name: json.dumps(value) for name, value in facts.items()})
         self.waiting.clear()
-        return "recommend"
+        return "recommend", fresh
 
     def close(self):
         pass

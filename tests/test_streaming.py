@@ -47,6 +47,27 @@ def test_one_or_many_runs_agree(spark, tmp_path, cut):
     assert {r.seq: r.context_size for r in rows if r.session_id == 2} == {0: 2, 1: 2, 2: 2, 3: 2, 4: 2, 5: 3, 6: 3}
 
 
+@pytest.mark.parametrize("batch", [3, 10000])
+def test_order_of_landing_changes_nothing(spark, tmp_path, batch, monkeypatch):
+    """Events land backwards, odd ones first, and are read in small or large Arrow batches."""
+    def with_batches(session, partitions=None, make=session_state.state_session):
+        made = make(session, partitions)
+        made.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        return made
+    monkeypatch.setattr(session_state, "state_session", with_batches)
+    parts = [[e for e in reversed(EVENTS) if e[1] % 2], [e for e in reversed(EVENTS) if not e[1] % 2]]
+    rows = outcomes(spark, tmp_path, parts)
+    assert {(r.session_id, r.seq): (r.outcome, r.history_length, r.restarted) for r in rows} == WANT
+    assert {r.seq: r.context_size for r in rows if r.session_id == 2} == {0: 2, 1: 2, 2: 2, 3: 2, 4: 2, 5: 3, 6: 3}
+
+
+def test_an_event_that_lands_twice_is_applied_once(spark, tmp_path):
+    one = [e for e in EVENTS if e[0] == 1][:3]
+    rows = outcomes(spark, tmp_path, [one, one[1:2]])
+    assert sorted((r.seq, r.outcome) for r in rows) == [
+        (0, "initial"), (1, "collecting"), (1, "repeated"), (2, "collecting")]
+
+
 def test_long_ttl_keeps_state(spark, tmp_path):
     """The control: with a long time to live nothing restarts."""
     rows = outcomes(spark, tmp_path, [[e for e in EVENTS if e[0] == 1][:5], [e for e in EVENTS if e[0] == 1][5:]],
