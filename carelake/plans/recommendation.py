@@ -37,20 +37,25 @@ def candidate_drugs(requests: DataFrame, query_vectors: DataFrame, catalogue: Da
     return slim.join(named, "query_id").drop("query_id", "vec_id")
 
 
-def _facility_counts(requests: DataFrame, facilities: DataFrame, radius_km: float) -> DataFrame:
+def _places(requests: DataFrame, facilities: DataFrame, radius_km: float) -> DataFrame:
+    """The nearest facilities of each request, at most ten, as the table has them, with rank and distance."""
     points = requests.select(F.col("request_id").alias("point_id"), "lon", "lat")
-    near = nearby_facilities(points, facilities, radius_km, FACILITIES)
-    return near.groupBy(F.col("point_id").alias("request_id")).agg(F.count(F.lit(1)).alias("facilities"))
+    near = nearby_facilities(points, facilities, radius_km, FACILITIES).select(
+        "point_id", "facility_id", "distance_km", "rank")
+    known = facilities.select("facility_id", F.struct(*facilities.columns).alias("facility"))
+    place = F.struct("rank", "distance_km", "facility")
+    return near.join(known, "facility_id").groupBy(F.col("point_id").alias("request_id")).agg(
+        F.sort_array(F.collect_list(place)).alias("places"))
 
 
 def hospital_answers(requests: DataFrame, hospitals: DataFrame) -> DataFrame:
     """Answers of the requests that must see a doctor."""
     chosen = requests.where("recommendation = 'HOSPITAL'")
-    joined = chosen.join(_facility_counts(chosen, hospitals, HOSPITAL_KM), "request_id", "left")
-    near = F.coalesce("facilities", F.lit(0))
+    joined = chosen.join(_places(chosen, hospitals, HOSPITAL_KM), "request_id", "left")
+    near = F.coalesce(F.size("places"), F.lit(0))
     return joined.select(
         "request_id", F.lit("recommendation").alias("message_type"), F.lit(0).alias("drug_count"),
-        F.lit(None).cast("string").alias("first_drug"), near.alias("facilities"),
+        F.lit(None).cast("string").alias("first_drug"), near.alias("facilities"), "places",
         advice.hospital_message(F.col("disease_name"), F.col("severity_score"), F.col("reason"), near)
         .alias("message"))
 
@@ -66,8 +71,8 @@ def pharmacy_answers(requests: DataFrame, query_vectors: DataFrame, catalogue: D
     drug = F.struct("place", "item_seq", "item_name", "entp_name")
     drugs = picked.groupBy("request_id").agg(F.sort_array(F.collect_list(drug)).alias("drugs"))
     joined = (chosen.join(asked, "request_id", "left").join(drugs, "request_id", "left")
-              .join(_facility_counts(chosen, pharmacies, PHARMACY_KM), "request_id", "left"))
-    near = F.coalesce("facilities", F.lit(0))
+              .join(_places(chosen, pharmacies, PHARMACY_KM), "request_id", "left"))
+    near = F.coalesce(F.size("places"), F.lit(0))
     unknown = F.size("missing") > 0
     kind = (F.when(F.col("missing").isNull(), "text").when(unknown, "info_request")
             .when(F.col("drugs").isNull(), "text").otherwise("recommendation"))
@@ -79,15 +84,16 @@ def pharmacy_answers(requests: DataFrame, query_vectors: DataFrame, catalogue: D
     return joined.withColumn("message_type", kind).select(
         "request_id", "message_type", F.when(done, F.size("drugs")).otherwise(0).alias("drug_count"),
         F.when(done, records.first_drug(F.col("drugs"), "item_name")).alias("first_drug"),
-        F.when(done, near).otherwise(0).alias("facilities"), text.alias("message"))
+        F.when(done, near).otherwise(0).alias("facilities"), F.when(done, F.col("places")).alias("places"),
+        F.when(done, F.col("drugs")).alias("drugs"), text.alias("message"))
 
 
 def recommend(requests: DataFrame, query_vectors: DataFrame, catalogue: DataFrame, pregnancy: DataFrame,
               elderly: DataFrame, pharmacies: DataFrame, hospitals: DataFrame) -> DataFrame:
-    """One answer per request."""
+    """One answer per request, with its drugs and places as arrays; null where the answer has none."""
     ready = decided(requests)
     answers = hospital_answers(ready, hospitals).unionByName(
-        pharmacy_answers(ready, query_vectors, catalogue, pregnancy, elderly, pharmacies))
+        pharmacy_answers(ready, query_vectors, catalogue, pregnancy, elderly, pharmacies), allowMissingColumns=True)
     slim = ready.select("request_id", "recommendation", "severity_score", "parse_ok")
     return slim.join(answers, "request_id")
 
@@ -97,8 +103,11 @@ def diagnosis_log(diagnoses: DataFrame, at: Column) -> DataFrame:
 
     ``diagnoses(log_id, symptom_text, messages, disease, severity_score, reason,
     recommendation, drugs, pharmacies, hospitals, suspected, location)``.
+    ``location`` holds latitude, longitude and, where the device told it, accuracy in metres.
     """
     drugs, place = F.col("drugs"), F.col("location")
+    told = "accuracy" in diagnoses.schema["location"].dataType.names
+    accuracy = F.round(place["accuracy"]) if told else F.lit(None)
     return diagnoses.select(
         "log_id", records.symptom_text(F.col("symptom_text"), F.col("messages")).alias("symptom_text"),
         F.col("disease").alias("predicted_disease"), "recommendation",
@@ -110,4 +119,23 @@ def diagnosis_log(diagnoses: DataFrame, at: Column) -> DataFrame:
         records.json_or_null(F.col("pharmacies")).alias("nearby_pharmacies"),
         records.json_or_null(F.col("hospitals")).alias("nearby_hospitals"),
         records.coordinate_text(place["latitude"]).alias("latitude"),
-        records.coordinate_text(place["longitude"]).alias("longitude"), at.alias("created_at"))
+        records.coordinate_text(place["longitude"]).alias("longitude"), accuracy.cast("int").alias("gps_accuracy_m"),
+        at.alias("created_at"))
+
+
+def answer_log(requests: DataFrame, answers: DataFrame, at: Column) -> DataFrame:
+    """Log rows of the answers of ``recommend``, one per request, ready to append."""
+    seen = decided(requests)
+    text = F.col("symptoms") if "symptoms" in requests.columns else F.lit(None).cast("string")
+    accuracy = F.col("accuracy") if "accuracy" in requests.columns else F.lit(None)
+    location = F.struct(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"),
+                        accuracy.cast("double").alias("accuracy"))
+    asked = seen.select("request_id", text.alias("symptom_text"), F.col("disease_name").alias("disease"), "reason",
+                        location.alias("location"))
+    hospital = F.col("recommendation") == "HOSPITAL"
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    return diagnosis_log(asked.join(answers, "request_id").select(
+        F.col("request_id").alias("log_id"), "symptom_text", none.alias("messages"), "disease", "severity_score", "reason",
+        "recommendation", "drugs", F.when(~hospital, F.col("places")).alias("pharmacies"),
+        F.when(hospital, F.col("places")).alias("hospitals"), F.array().cast("array<string>").alias("suspected"),
+        "location"), at)

@@ -10,7 +10,7 @@ from carelake.plans import recommendation
 from carelake.registry import query
 from carelake.registry.standins import haversine_km, standin, table, with_sql
 from carelake.session import scratch_path
-from carelake.sources.snapshots import write_vector_index
+from carelake.sources.snapshots import append_log, write_vector_index
 
 
 @query("keyword_search", with_sql("drugs") + """
@@ -245,9 +245,12 @@ def requests(spark, sf):
 
 
 _NEAR_COUNT = f"""SELECT point_id AS request_id, least(10, count(*) FILTER (WHERE km <= 3)) AS near3,
-   least(10, count(*) FILTER (WHERE km <= 5)) AS near5 FROM (
-   SELECT point_id, {haversine_km('p.lat', 'p.lon', 'f.lat', 'f.lon')} AS km
-   FROM points p JOIN facilities f ON f.lon IS NOT NULL) GROUP BY 1"""
+   least(10, count(*) FILTER (WHERE km <= 5)) AS near5,
+   string_agg(facility_id, ',' ORDER BY r) FILTER (WHERE km <= 3 AND r <= 10) AS ids3,
+   string_agg(facility_id, ',' ORDER BY r) FILTER (WHERE km <= 5 AND r <= 10) AS ids5
+   FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY km, facility_id) AS r FROM (
+   SELECT point_id, facility_id, {haversine_km('p.lat', 'p.lon', 'f.lat', 'f.lon')} AS km
+   FROM points p JOIN facilities f ON f.lon IS NOT NULL)) GROUP BY 1"""
 
 _RECOMMEND = with_sql(
     "people", "points", "facilities", "drugs", "pregnancy_rules", "elderly_rules",
@@ -269,9 +272,10 @@ _RECOMMEND = with_sql(
     picks="""SELECT request_id, CAST(unnest(ranks) AS BIGINT) AS shown_rank, unnest(range(0, len(ranks))) AS place
       FROM chosen""",
     drugs_of="""SELECT request_id, count(*) AS drug_count, arg_min(item_name, place) AS first_drug,
+      string_agg(item_seq, ',' ORDER BY place) AS drug_ids,
       string_agg(CAST(place + 1 AS VARCHAR) || '. ' || item_name || ' (' || entp_name || ')' || chr(10), '' ORDER BY place)
         AS listed FROM picks JOIN shown USING (request_id, shown_rank) GROUP BY 1""",
-    e="""SELECT r.*, a, p, drug_count, first_drug, listed, coalesce(near3, 0) AS near3, coalesce(near5, 0) AS near5
+    e="""SELECT r.*, a, p, drug_count, first_drug, listed, drug_ids, ids3, ids5, coalesce(near3, 0) AS near3, coalesce(near5, 0) AS near5
       FROM requests r LEFT JOIN asked USING (request_id) LEFT JOIN drugs_of USING (request_id)
       LEFT JOIN near USING (request_id)""") + """
 SELECT request_id, recommendation, score AS severity_score, seg <> 'MACHINERY' AS parse_ok,
@@ -281,6 +285,8 @@ SELECT request_id, recommendation, score AS severity_score, seg <> 'MACHINERY' A
   CASE WHEN recommendation = 'HOSPITAL' OR a IS NULL OR a OR p THEN NULL ELSE first_drug END AS first_drug,
   CASE WHEN recommendation = 'HOSPITAL' THEN near5 WHEN a IS NULL OR a OR p OR drug_count IS NULL THEN 0 ELSE near3 END
     AS facilities,
+  CASE WHEN recommendation = 'HOSPITAL' THEN ids5 WHEN a IS NULL OR a OR p OR drug_count IS NULL THEN NULL ELSE ids3 END AS places,
+  CASE WHEN recommendation = 'HOSPITAL' OR a IS NULL OR a OR p OR drug_count IS NULL THEN NULL ELSE drug_ids END AS drugs,
   CASE WHEN recommendation = 'HOSPITAL' THEN
     CASE WHEN score >= 9 THEN '⚠️ **' || disease || '**은 응급 상황입니다!' || chr(10) || chr(10) || '심각도: 9/10점 (응급)' || chr(10) ||
       '사유: urgent' || chr(10) || chr(10) || '🚨 **즉시 119에 전화하거나 가까운 응급실을 방문하세요!**' || chr(10) || chr(10)
@@ -302,5 +308,27 @@ FROM e"""
 @query("recommendations", _RECOMMEND)
 def recommendations(spark, sf):
     places = standin(spark, sf, "facilities")
-    return recommendation.recommend(requests(spark, sf), profiles(spark, sf), catalogue(spark, sf),
-                                    *_rules(spark, sf), places, places)
+    found = recommendation.recommend(requests(spark, sf), profiles(spark, sf), catalogue(spark, sf),
+                                     *_rules(spark, sf), places, places)
+    return found.withColumns({"places": F.array_join(F.transform("places", lambda p: p["facility"]["facility_id"].cast("string")), ","),
+                              "drugs": F.array_join("drugs.item_seq", ",")})
+
+
+@query("logged_recommendations", f"""
+SELECT request_id AS log_id, 'D' || CAST(c_nationkey AS VARCHAR) AS predicted_disease, recommendation,
+  first_drug AS drug_suggested, severity_score, CAST(request_id % 50 AS INTEGER) AS gps_accuracy_m,
+  CASE WHEN recommendation = 'HOSPITAL' THEN 0 ELSE facilities END AS pharmacies,
+  CASE WHEN recommendation = 'HOSPITAL' THEN facilities ELSE 0 END AS hospitals
+FROM ({_RECOMMEND}) JOIN customer ON c_custkey = request_id""")
+def logged_recommendations(spark, sf):
+    """The answers, appended to the log and read back."""
+    places, asked = standin(spark, sf, "facilities"), requests(spark, sf).withColumn("accuracy", F.col("request_id") % 50)
+    answers = recommendation.recommend(asked, profiles(spark, sf), catalogue(spark, sf), *_rules(spark, sf), places, places)
+    path = scratch_path(spark, "answer-log")
+    append_log(recommendation.answer_log(asked, answers, F.lit("2024-01-01 00:00:00").cast("timestamp")), path)
+
+    def listed(column):
+        return F.coalesce(F.json_array_length(column), F.lit(0)).alias(column.removeprefix("nearby_"))
+    return spark.read.parquet(path).select(
+        "log_id", "predicted_disease", "recommendation", "drug_suggested", "severity_score", "gps_accuracy_m",
+        listed("nearby_pharmacies"), listed("nearby_hospitals"))
