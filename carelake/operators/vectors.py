@@ -9,10 +9,11 @@ nearest. Blocks return k rows per query, never all pairs.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("l2sq", "cosine", "dot")
@@ -216,8 +217,7 @@ def similar(queries: DataFrame, catalogue: DataFrame, k: int = 10, metric: str =
         found = catalogue.mapInArrow(_scan_few(qids, q, k, metric), RESULT)
     else:
         found = _in_blocks(queries, catalogue, k, metric, block_rows)
-    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked(found, k)
 
 
 def centres_of(catalogue: DataFrame, wanted: int) -> np.ndarray:
@@ -233,30 +233,67 @@ def clustered(catalogue: DataFrame, centres: np.ndarray, unit: bool = False) ->
         "vec_id bigint, embedding array<double>, cluster int, off double")
 
 
-def _in_blocks(queries: DataFrame, catalogue: DataFrame, k: int, metric: str,
-               block_rows: int) -> DataFrame:
-    unit = metric == "cosine"
-    rows = catalogue.count()
-    centres = centres_of(catalogue, max(1, min(256, math.isqrt(max(rows, 1)))))
-    if not len(centres):
-        return catalogue.sparkSession.createDataFrame([], RESULT)
-    if unit:
+@dataclass
+class Clusters:
+    """Centres of a clustered catalogue, how many vectors each holds, and how far the farthest lies."""
+
+    centres: np.ndarray
+    held: np.ndarray
+    radius: np.ndarray
+    metric: str
+
+    def blocks(self, block_rows: int) -> Column:
+        """Pieces of about ``block_rows`` vectors that the cluster in column ``cluster`` has."""
+        return F.get(F.array(*[F.lit(max(1, math.ceil(int(n) / block_rows))) for n in self.held]), F.col("cluster"))
+
+
+def cluster(catalogue: DataFrame, metric: str = "l2sq") -> tuple[DataFrame, Clusters]:
+    """``vec_id, embedding, cluster, off`` of a catalogue around as many centres as the root of its size."""
+    catalogue = _vector_rows(catalogue, "vec_id")
+    centres = centres_of(catalogue, max(1, math.isqrt(catalogue.count())))
+    if metric == "cosine":
         centres = _unit(centres)
-    placed = clustered(catalogue, centres, unit)
+    if not len(centres):
+        return catalogue.withColumns({"cluster": F.lit(0), "off": F.lit(0.0)}).limit(0), \
+            Clusters(np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros(0), metric)
+    placed = clustered(catalogue, centres, metric == "cosine")
     held, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
     for row in placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("off").alias("r")).collect():
         held[row["cluster"]], radius[row["cluster"]] = row["n"], row["r"]
-    chunks = max(1, math.ceil(queries.count() / block_rows))
-    blocks = F.array(*[F.lit(max(1, math.ceil(int(n) / block_rows))) for n in held])
-    routed = queries.mapInArrow(
-        _route(centres, radius, held, k, metric),
+    return placed, Clusters(centres, held, radius, metric)
+
+
+def routed(queries: DataFrame, clusters: Clusters, k: int) -> DataFrame:
+    """``query_id, embedding, cluster``: the clusters that each query must visit."""
+    return _vector_rows(queries, "query_id").mapInArrow(
+        _route(clusters.centres, clusters.radius, clusters.held, k, clusters.metric),
         "query_id bigint, embedding array<double>, cluster int")
-    per_cluster = F.get(blocks, F.col("cluster"))
-    left = routed.withColumns({
+
+
+def search_clusters(queries: DataFrame, placed: DataFrame, clusters: Clusters, k: int, chunks: int = 1,
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The k nearest of each ``routed`` query among ``placed(vec_id, embedding, cluster)``, ranked per block only."""
+    per_cluster = clusters.blocks(block_rows)
+    left = queries.withColumns({
         "chunk": F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"),
         "block": F.explode(F.sequence(F.lit(0), per_cluster - 1))})
-    right = placed.drop("off").withColumns({
+    right = placed.select("vec_id", "embedding", "cluster").withColumns({
         "block": F.pmod(F.xxhash64("vec_id"), per_cluster).cast("int"),
         "chunk": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))})
     keys = ["cluster", "block", "chunk"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(k, metric), RESULT)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(k, clusters.metric), RESULT)
+
+
+def _in_blocks(queries: DataFrame, catalogue: DataFrame, k: int, metric: str,
+               block_rows: int) -> DataFrame:
+    placed, clusters = cluster(catalogue, metric)
+    if not len(clusters.held):
+        return catalogue.sparkSession.createDataFrame([], RESULT)
+    chunks = max(1, math.ceil(queries.count() / block_rows))
+    return search_clusters(routed(queries, clusters, k), placed, clusters, k, chunks, block_rows)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query with their rank; ties to the smaller id."""
+    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -10,7 +10,7 @@ from carelake.plans import recommendation
 from carelake.registry import query
 from carelake.registry.standins import haversine_km, standin, table, with_sql
 from carelake.session import scratch_path
-from carelake.sources.snapshots import append_log, write_vector_index
+from carelake.sources.snapshots import append_log, read_vector_index, search_vector_index, write_vector_index
 
 
 @query("keyword_search", with_sql("drugs") + """
@@ -100,16 +100,26 @@ def nearest_neighbours(spark, sf):
     return hits.withColumn("distance", F.round("distance", 6))
 
 
+@query("products_of_neighbours", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT a.vec_id AS query_id, b.vec_id, round(-list_inner_product(a.v, b.v), 6) AS distance,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY -list_inner_product(a.v, b.v), b.vec_id) AS rank
+FROM e a, e b QUALIFY rank <= 5""")
+def products_of_neighbours(spark, sf):
+    """The same by inner product, from an index that is stored first."""
+    rows, path = table(spark, sf, "embeddings"), scratch_path(spark, "product-index")
+    write_vector_index(rows.select("vec_id", "embedding"), path, "dot")
+    hits = search_vector_index(spark, path, rows.select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
 @query("vector_index", with_sql("drugs") + f"""
 SELECT vec_id, item_seq, {_DOCUMENT} AS content, count(*) OVER () AS index_size
 FROM drugs JOIN embeddings USING (vec_id) WHERE etc_otc_code = '02' AND cancel_name IS NULL""")
 def vector_index(spark, sf):
     """The index as written and read back, with its size."""
     documents, path = catalogue(spark, sf), scratch_path(spark, "index")
-    rows = documents.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    placed = vectors.clustered(rows, vectors.centres_of(rows, 16)).drop("off", "embedding")
-    write_vector_index(documents.select("vec_id", "item_seq", _document(), "embedding").join(placed, "vec_id"), path)
-    index = spark.read.parquet(path)
+    write_vector_index(documents.select("vec_id", "item_seq", _document(), "embedding"), path)
+    index = read_vector_index(spark, path)
     size = index.agg(F.count(F.lit(1))).scalar()
     return index.select("vec_id", "item_seq", "content", size.alias("index_size"))
 

@@ -7,9 +7,13 @@ leaves the previous snapshot readable and can simply run again.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carelake.operators.vectors import BLOCK_ROWS, RESULT, Clusters, cluster, ranked, routed, search_clusters
+from carelake.session import staged
+
 
 def _folder(base: str, version: int) -> str:
     return f"{base.rstrip('/')}/v={version:010d}"
@@ -49,12 +53,45 @@ def scan(spark: SparkSession, path: str, query: str, columns: list[str] | None =
     return spark.sql(query, args=args, rows=rows.select(*columns) if columns else rows)
 
 
-def scan_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """The same from a database, when its driver is on the class path."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def scan_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int,
+              **options: str) -> DataFrame:
+    """The same from a database, when its driver is on the class path: ``parts`` ranges of ``column``, one task each."""
+    return spark.read.format("jdbc").options(
+        url=url, dbtable=table, partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts,
+        **options).load()
+
 
+def write_vector_index(documents: DataFrame, path: str, metric: str = "l2sq") -> None:
+    """Documents with ``vec_id`` and ``embedding`` in one folder per cluster, and the clusters beside them.
 
-def write_vector_index(documents: DataFrame, path: str, cells: str = "cluster") -> None:
-    """Vector documents, one folder per centroid, so a probe reads only its folders."""
-    documents.repartition(cells, F.pmod(F.xxhash64("vec_id"), F.lit(8))) \
-        .write.mode("overwrite").partitionBy(cells).parquet(path)
+    A cluster is split by its measured size, so a large one is no single file.
+    """
+    placed, clusters = cluster(documents.select("vec_id", "embedding"), metric)
+    rows = documents.drop("embedding").join(placed.drop("off"), "vec_id").withColumn(
+        "_piece", F.pmod(F.xxhash64("vec_id"), clusters.blocks(BLOCK_ROWS)) if len(clusters.held) else F.lit(0))
+    rows.repartition("cluster", "_piece").drop("_piece").write.mode("overwrite").partitionBy("cluster").parquet(
+        f"{path}/vectors")
+    told = [(i, [float(x) for x in clusters.centres[i]], int(n), float(clusters.radius[i]), metric)
+            for i, n in enumerate(clusters.held)]
+    documents.sparkSession.createDataFrame(
+        told, "cluster int, centre array<double>, n bigint, radius double, metric string").write.mode(
+        "overwrite").parquet(f"{path}/clusters")
+
+
+def read_vector_index(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of an index with their cluster."""
+    return spark.read.parquet(f"{path}/vectors")
+
+
+def search_vector_index(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, distance, rank`` from a stored index; only the folders that some query must visit are read."""
+    told = spark.read.parquet(f"{path}/clusters").orderBy("cluster").collect()  # the root of the catalogue's size
+    if not told:
+        return ranked(spark.createDataFrame([], RESULT), k)
+    clusters = Clusters(np.array([r["centre"] for r in told]), np.array([r["n"] for r in told]),
+                        np.array([r["radius"] for r in told]), told[0]["metric"])
+    asked = staged(routed(queries, clusters, k), "routed")
+    visited = [r["cluster"] for r in asked.select("cluster").distinct().collect()]
+    index = read_vector_index(spark, path).where(F.col("cluster").isin(visited)) if visited else \
+        read_vector_index(spark, path).limit(0)
+    return ranked(search_clusters(asked, index, clusters, k), k)
