@@ -2,47 +2,45 @@
 
 A page redirects to at most one target. Following targets one hop at a time
 needs as many joins as the longest chain is long; doubling the pointers needs
-the logarithm of it. Each round is cut by a reliable checkpoint, as the state
-joins itself and its plan would otherwise double too.
+the logarithm of it. Each round writes the pointers that still move to the
+shared folder, as the state joins itself and its plan would otherwise double too.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.session import cut_lineage
-
-
-def _double(state: DataFrame) -> DataFrame:
-    """Advance every unfinished pointer by the distance its target has covered."""
-    moving = state.where(~F.col("done")).alias("s")
-    onward = state.select(F.col("src").alias("via"), F.col("ptr").alias("next"),
-                          F.col("done").alias("next_done"))
-    moved = moving.join(onward, F.col("s.ptr") == F.col("via"), "left").select(
-        "src", F.coalesce("next", "ptr").alias("ptr"),
-        F.coalesce("next_done", F.lit(True)).alias("done"))
-    return cut_lineage(state.where("done").unionByName(moved))
+from carelake.session import staged
 
 
-def _unfinished(state: DataFrame) -> int:
-    return state.where(~F.col("done")).count()
+def _advance(moving: DataFrame, settled: list[DataFrame]) -> DataFrame:
+    """Move every unfinished pointer on by the distance its target has covered; only these are written again."""
+    onward = reduce(DataFrame.unionByName, [*settled, moving]).select(
+        F.col("src").alias("via"), F.col("ptr").alias("next"), F.col("done").alias("next_done"))
+    return staged(moving.alias("s").join(onward, F.col("s.ptr") == F.col("via"), "left").select(
+        "src", F.coalesce("next", "ptr").alias("ptr"), F.coalesce("next_done", F.lit(True)).alias("done")), "pointers")
 
 
-def _settle(state: DataFrame) -> DataFrame:
-    """Double until a round finishes nothing: what is left leads into a cycle.
+def _settle(state: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Double until a round finishes nothing: what is left leads into a cycle. Gives the ends, the rest and its size.
 
     Along a chain of length d there are chains of every shorter length, so
     each round before the last one finishes at least one pointer.
     """
-    left = _unfinished(state)
+    settled, moving = [state.where("done")], state.where(~F.col("done"))
+    left = moving.count()
     while left:
-        state = _double(state)
-        now = _unfinished(state)
+        moved = _advance(moving, settled)
+        settled.append(moved.where("done"))
+        moving = moved.where(~F.col("done"))
+        now = moving.count()
         if now == left:
             break
         left = now
-    return state
+    return reduce(DataFrame.unionByName, settled).select("src", "ptr"), moving, left
 
 
 def resolve_chains(redirects: DataFrame) -> DataFrame:
@@ -53,21 +51,18 @@ def resolve_chains(redirects: DataFrame) -> DataFrame:
     """
     sources = redirects.select(F.col("src").alias("ptr"), F.lit(True).alias("known"))
     start = redirects.select("src", F.col("tgt").alias("ptr"))
-    state = cut_lineage(start.join(sources, "ptr", "left").select(
-        "src", "ptr", F.col("known").isNull().alias("done")))
-    state = _settle(state)
-    ends = state.where("done").select("src", "ptr")
-    looping = state.where(~F.col("done"))
-    if looping.isEmpty():
+    ends, looping, left = _settle(staged(start.join(sources, "ptr", "left").select(
+        "src", "ptr", F.col("known").isNull().alias("done")), "pointers"))
+    if not left:
         resolved = ends.withColumn("on_cycle", F.lit(False))
     else:
         cycle = _cycle_members(looping)
         # Cut the cycles open: their members are ends, so the tails now settle.
         edges = redirects.join(looping.select("src"), "src", "left_semi")
         tails = edges.join(cycle, edges["src"] == cycle["member"], "left_anti")
-        opened = cut_lineage(tails.join(cycle, tails["tgt"] == cycle["member"], "left").select(
-            "src", F.col("tgt").alias("ptr"), F.col("member").isNotNull().alias("done")))
-        entered = _settle(opened).select("src", "ptr")
+        opened = staged(tails.join(cycle, tails["tgt"] == cycle["member"], "left").select(
+            "src", F.col("tgt").alias("ptr"), F.col("member").isNotNull().alias("done")), "pointers")
+        entered, _, _ = _settle(opened)
         resolved = (ends.unionByName(entered).withColumn("on_cycle", F.lit(False))
                     .unionByName(cycle.select(F.col("member").alias("src"),
                                               F.col("member").alias("ptr"),
@@ -84,8 +79,8 @@ def _cycle_members(looping: DataFrame) -> DataFrame:
     """
     size = looping.select("ptr").distinct().count()
     while True:
-        looping = _double(looping)
+        looping = _advance(looping, [])
         now = looping.select("ptr").distinct().count()
         if now == size:
-            return cut_lineage(looping.select(F.col("ptr").alias("member")).distinct())
+            return staged(looping.select(F.col("ptr").alias("member")).distinct(), "cycles")
         size = now

@@ -119,3 +119,14 @@ def test_dump_order_follows_the_files(spark, tmp_path):
     (tmp_path / "b.jsonl").write_text("".join(f'{{"title": "t", "text": "later {i} {"x" * 200}"}}\n' for i in range(300)))
     got = dumps.read_dump(spark, str(tmp_path)).orderBy("ordinal").collect()
     assert len(got) == 301 and got[0].text == "first" and got[1].text.startswith("later 0 ")
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    from carelake import session
+    session.clean_scratch(spark)
+    path = session.scratch_path(spark, "gone")
+    session.staged(spark.range(3), "gone").count()
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path) and session.clean_scratch(spark) == 2 and not os.path.exists(path)
