@@ -25,7 +25,7 @@ FEATURES, LEAST_CHI2 = 4096, 30.0
 #: Bytes of word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
 #: Steps of training, and what keeps weights small.
-STEPS, PENALTY = 400, 0.1
+STEPS, PENALTY = 1000, 0.01
 _KNOWN = 1 << 19
 
 
