@@ -188,22 +188,24 @@ def _phrase_columns(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """The rules whose needed words a text holds all; the text itself goes where there are none."""
+    """The numbers of the rules whose needed words a text holds all; the text itself goes where there are none."""
     keys = F.array(*[F.lit(k) for k in sorted(set(chain.from_iterable(r["keys"] for r in rules())))])
     held = with_once(rows, held=F.array_intersect(F.split("t", " "), keys))
-    tried = F.filter(_rule_column(), lambda r: F.size(F.array_except(r["keys"], F.col("held"))) == 0)
-    none = F.filter(_rule_column(), lambda r: F.lit(False))
-    tried = with_once(held, tried=F.when(F.size("held") > 0, tried).otherwise(none)).drop("held")
-    return tried.withColumn("t", F.when(F.size("tried") > 0, F.col("t")))
+    whole = F.filter(_rule_column(), lambda r: F.size(F.array_except(r["keys"], F.col("held"))) == 0)
+    none = F.array().cast("array<int>")
+    tried = with_once(held, tried=F.when(F.size("held") > 0, F.transform(whole, lambda r: r["rule"])).otherwise(none))
+    return tried.drop("held").withColumn("t", F.when(F.size("tried") > 0, F.col("t")))
 
 
 def detections(rows: DataFrame) -> DataFrame:
     """``row, rule, label, priority, confidence, start, stop`` of all matches; places are characters of ``t``."""
-    one = rows.where("size(tried) > 0").select("row", "t", F.explode("tried").alias("r"))
+    known = rows.sparkSession.range(1).select(F.inline(_rule_column())).drop("keys")  # as many rows as there are rules
+    one = rows.where("size(tried) > 0").select("row", "t", F.explode("tried").alias("rule")).join(
+        F.broadcast(known), "rule")
     lengths = F.arrays_zip(
-        F.transform(F.split("t", F.col("r.pattern"), -1), F.length).alias("gap"),
-        F.transform(F.regexp_extract_all("t", F.col("r.pattern"), F.lit(0)), F.length).alias("hit"))
-    cut = one.select("row", "r.rule", "r.label", "r.priority", "r.confidence", F.posexplode(lengths).alias("i", "l"))
+        F.transform(F.split("t", F.col("pattern"), -1), F.length).alias("gap"),
+        F.transform(F.regexp_extract_all("t", F.col("pattern"), F.lit(0)), F.length).alias("hit"))
+    cut = one.select("row", "rule", "label", "priority", "confidence", F.posexplode(lengths).alias("i", "l"))
     cut = cut.select("row", "rule", "label", "priority", "confidence", "i",
                      F.col("l.gap").cast("long").alias("gap"), F.col("l.hit").cast("long").alias("hit"))
     upto = Window.partitionBy("row", "rule").orderBy("i")
