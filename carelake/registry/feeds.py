@@ -268,8 +268,12 @@ def _nulled(name):
     return {"hospital": "telno", "pharmacy": "telno", "emergency": "duty_tel1", "trauma": "duty_tel1"}.get(name)
 
 
+#: Parts that the table holds before the feed; all others come with it.
+EXISTING = "(p_size <= 30 OR p_type = 'PROMO')"
+
+
 def existing_rows(spark, sf, name) -> DataFrame:
-    rows = table(spark, sf, "part").where("p_size <= 30")
+    rows = table(spark, sf, "part").where(EXISTING)
     types = {f.name: f.dataType for f in schemas.schema(name)}
     columns = []
     for c, e in _columns(name, _existing_suffix(name)).items():
@@ -338,7 +342,7 @@ def _upsert_sql(name: str, body: str = "SELECT * FROM result") -> str:
     shown = [f"coalesce(o.{c}, n.{c}) AS {c}" if c in keys else
              f"CASE WHEN action IN ('saved', 'updated') THEN n.{c} ELSE o.{c} END AS {c}" for c in _plain(name)]
     extra = ["action"] if name in schemas.COMPARED else []
-    return f"""WITH o AS ({frame(_existing_suffix, 'p_size <= 30', _nulled(name))}),
+    return f"""WITH o AS ({frame(_existing_suffix, EXISTING, _nulled(name))}),
 n AS ({frame(_feed_suffix, "p_type <> 'PROMO' AND p_brand <> 'Brand#9'", None)}),
 j AS (SELECT o, n, {action} AS action, {old} AS was FROM o FULL JOIN n ON {on}),
 result AS (SELECT {', '.join(shown)}, CASE WHEN was THEN '{BEFORE}' ELSE '{NOW}' END AS created_at,
