@@ -130,14 +130,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFra
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates: that of the smallest doc_id.
+    """``docs`` with one document of each group of near-duplicates, as ``one_of_each`` says."""
+    return one_of_each(docs, near_duplicates(docs, width, radius))
+
+
+def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group, of ``named.doc_id, component_id``: that of the smallest doc_id.
 
     Rows that repeat a doc_id are versions of one document: it stays if any of
     them is the first of its group, as the version with the smallest text.
     Rows without a doc_id cannot be named and all stay. A column named
     ``__rows`` is refused.
     """
-    kept = near_duplicates(docs, width, radius).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+    kept = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("__rows"), F.bool_or(F.col("component_id") == F.col("doc_id")).alias("__first"))
     found = docs.join(kept.where("__first").drop("__first"), "doc_id")
     whole = F.struct(F.coalesce("text", F.lit("")).alias("t"), F.struct(*docs.columns).alias("r"))

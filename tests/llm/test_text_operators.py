@@ -10,8 +10,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from carelake.llm import (
-    components, decontamination, licenses, linededup, pieces, secrets, sharding, simhash, toxicity,
+    components, decontamination, licenses, linededup, pieces, secrets, sharding, shingles, simhash, toxicity,
 )
 from carelake.llm.common import words_of
 
@@ -116,6 +117,36 @@ def test_near_duplicates(spark, monkeypatch, large):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
 
 
+@pytest.mark.parametrize("large", [1, 64])
+def test_groups_hold_every_pair_of_four_fifths(spark, monkeypatch, large):
+    monkeypatch.setattr(shingles, "LARGE_BUCKET", large)
+    rng = random.Random(12)
+    texts = [None, "", " \t ", "One", "ONE", "one two", "a b c d e", "A b c d e"]
+    for _ in range(15):
+        base = words(rng, 120, 400)
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rng.randrange(6)):
+                own[rng.randrange(len(own))] = "changed"
+            texts.append(" ".join(own))
+
+    def brute(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    sets, root = [brute(t) for t in texts], list(range(len(texts)))
+    far = 0
+    for a, b in combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            far += (brute_fingerprint(texts[a], 5) ^ brute_fingerprint(texts[b], 5)).bit_count() > 6
+            root = [root[a] if r == root[b] else r for r in root]
+    assert far
+    want = sorted((i, min(j for j, s in enumerate(root) if s == r)) for i, r in enumerate(root))
+    docs = docs_of(spark, texts)
+    assert sorted(map(tuple, shingles.groups(docs).collect())) == want
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want})
+
+
 def test_every_pair_within_the_radius_meets():
     rng = random.Random(3)
     for radius in (1, 2, 3, 6):
