@@ -482,6 +482,20 @@ def test_near_lines(spark, monkeypatch, large):
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 
+def test_near_lines_of_any_length(spark):
+    rng = random.Random(13)
+    texts = []
+    for size in (100, 118, 120, 122, 160, 400, 600, 900):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(size)) + "."
+        texts += [base] + [changed(rng, base, n) for n in (2, 3, size // 40, size // 40 + 1, size // 30) for _ in range(3)]
+    texts += ["y" * 4000, "y" * 4090, "y" * 4300]
+    order, first, near, links = brute_lines(dict(enumerate(texts)))
+    got = {r.doc_id: (r.n_near, r.n_links) for r in linededup.line_summary(docs_of(spark, texts)).collect()}
+    assert got == {i: (int(first[t] == (i, 0) and near[t]), len(links[t])) for i, t in enumerate(texts)}
+    assert any(linededup._plain_distance(texts[-19], t) > 10 for t in links[texts[-19]])
+
+
+
 def test_thresholds_are_ordered_and_weights_shared():
     rng = np.random.default_rng(10)
     grades = rng.integers(0, 3, 400)
