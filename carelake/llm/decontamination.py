@@ -198,7 +198,7 @@ class _Windows:
             t = np.searchsorted(terms, self.terms[w, j])
             known = here & (t < len(terms))
             known[known] = terms[t[known]] == self.terms[w[known], j]
-            want = np.clip(anchor + self.offsets[w, j] - slop, 0, total - 1)
+            want = np.clip(anchor + self.offsets[w, j] - slop, bases[doc], total - 1)
             i = np.searchsorted(keys, t * total + want)
             found = known & (i < len(keys))
             got = np.where(found, keys[np.minimum(i, len(keys) - 1)] - t * total, -1) if len(keys) else i

@@ -223,6 +223,14 @@ def test_proximity_matches(spark, block):
         assert sorted((r.doc_id, r.start, r.stop) for r in found.collect()) == want
 
 
+def test_proximity_at_the_beginning_of_a_document(spark):
+    wins = decontamination.windows(spark.createDataFrame([(1, "a b")], "item_id long, text string"), 2)
+    index = decontamination.build_index(docs_of(spark, ["x x b", "a b"]).coalesce(1), wins)
+    assert index.count() == 1
+    got = decontamination.search(index, wins, 2).collect()
+    assert [(r.doc_no, r.start, r.stop) for r in got] == [(1, 0, 2)]
+
+
 def test_contamination_empty_tables(spark):
     items, none = spark.createDataFrame([(1, "a b c")], "item_id long, text string"), docs_of(spark, [])
     assert decontamination.contamination(none, items).collect() == []
