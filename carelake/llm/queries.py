@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carelake.llm import (
-    decontamination, licenses, linededup, pieces, secrets, sharding, simhash, topk, toxicity, warc,
+    decontamination, licenses, linededup, merkle, pieces, secrets, sharding, simhash, topk, toxicity, warc,
 )
 from carelake.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 
@@ -211,3 +211,50 @@ def op1_revisit_resolution(spark, sf):
     pairs = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return found.select(F.expr("record div 2").alias("page_id"), "url", "at", "outcome",
                         F.expr("response div 2").alias("response_page"), "digest", F.array_join(pairs, ";").alias("headers"))
+
+
+# Nodes of a level as one list per tree; three in a row are hashed to the next level's until one is left.
+_MERKLE = """
+WITH RECURSIVE rows AS (SELECT doc_id, source, text, concat_ws('', {leaf}) AS plain, concat_ws('', {tampered}) AS changed FROM documents),
+leaves AS (SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, sha256(plain)) - 1 AS pos, doc_id, source,
+ sha256(plain) AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 2 = 0 THEN sha256(changed) ELSE sha256(plain) END AS given FROM rows, codes),
+bottom(source, level, nodes) AS (SELECT source, 0, list(leaf ORDER BY pos) FROM leaves GROUP BY source
+ UNION ALL SELECT source, level + 1, list_transform(range(0, (len(nodes) + 2) // 3),
+  lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) FROM bottom WHERE len(nodes) > 1),
+subroots AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM bottom WHERE len(nodes) = 1),
+top(level, nodes) AS (SELECT 0, list(subroot ORDER BY place) FROM subroots
+ UNION ALL SELECT level + 1, list_transform(range(0, (len(nodes) + 2) // 3),
+  lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], ''))) FROM top WHERE len(nodes) > 1),
+climbs AS (SELECT l.pos AS id, l.source, 0 AS part, b.level, b.nodes, l.pos // CAST(pow(3, b.level) AS BIGINT) AS a
+ FROM leaves l JOIN bottom b ON l.source IS NOT DISTINCT FROM b.source AND len(b.nodes) > 1
+ UNION ALL SELECT l.pos, l.source, 1, t.level, t.nodes, s.place // CAST(pow(3, t.level) AS BIGINT)
+ FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source, top t WHERE len(t.nodes) > 1),
+steps AS (SELECT id, source, list(array_to_string(nodes[a // 3 * 3 + 1:a], '') || '*' ||
+ array_to_string(nodes[a + 2:a // 3 * 3 + 3], '') ORDER BY part, level) AS way FROM climbs GROUP BY id, source)
+SELECT l.doc_id, l.leaf, s.subroot, t.nodes[1] AS root, sha256(replace(array_to_string(coalesce(way, []), ''), '*', '')) AS proof_sha256,
+ list_reduce(list_prepend(l.given, coalesce(way, [])), lambda h, w: sha256(replace(w, '*', h))) AS folded_root,
+ list_reduce(list_prepend(l.given, coalesce(way, [])), lambda h, w: sha256(replace(w, '*', h))) = t.nodes[1] AS verified
+FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source JOIN top t ON len(t.nodes) = 1
+LEFT JOIN steps w ON w.id = l.pos AND w.source IS NOT DISTINCT FROM l.source"""
+
+
+def _leaf_sql(text: str) -> str:
+    return ", ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+                     for c in ("doc_id", "source", "lang", "n_chars", text))
+
+
+# The checksum of a short ASCII text, by the table that _CRC works out.
+_CRC_OF_ID = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(coalesce(doc_id, 0) AS VARCHAR), ''),
+ lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+
+
+@query("op12_merkle_manifest", _MERKLE.replace("WITH RECURSIVE rows", "WITH RECURSIVE " + _CRC[5:_CRC.index("rows AS")].strip() + " rows").format(
+    leaf=_leaf_sql("text"), tampered=_leaf_sql("replace(text, chr(10), '')"), crc=_CRC_OF_ID))
+def op12_merkle_manifest(spark, sf):
+    def leaf(text):
+        return merkle.row_digest([F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [text])
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    rows = table(spark, sf, "documents").select(
+        F.col("source").alias("tree"), F.col("doc_id").alias("key"), leaf(F.col("text")).alias("leaf"),
+        F.when(tampered, leaf(F.replace("text", F.lit("\n"), F.lit("")))).alias("given"))
+    return merkle.manifest(rows).withColumnRenamed("key", "doc_id")
