@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carelake.llm import (
-    decontamination, licenses, linededup, merkle, pieces, secrets, sharding, simhash, topk, toxicity, warc,
+    decontamination, lexical, licenses, linededup, merkle, pieces, secrets, sharding, simhash, topk, toxicity, warc,
 )
 from carelake.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 
@@ -258,3 +258,20 @@ def op12_merkle_manifest(spark, sf):
         F.col("source").alias("tree"), F.col("doc_id").alias("key"), leaf(F.col("text")).alias("leaf"),
         F.when(tampered, leaf(F.replace("text", F.lit("\n"), F.lit("")))).alias("given"))
     return merkle.manifest(rows).withColumnRenamed("key", "doc_id")
+
+
+@query("op11_ranked_search", f"""
+WITH docs AS (SELECT row_number() OVER () AS no, doc_id, coalesce({_TEST_WORDS}, []) AS w FROM documents),
+sums AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs WHERE len(w) > 0),
+asked AS (SELECT item_no, item_id, unnest(list_distinct({_TEST_WORDS})) AS term
+ FROM (SELECT row_number() OVER () AS item_no, item_id, text FROM benchmark)),
+counted AS (SELECT no, doc_id, len, term, count(*) AS tf FROM (SELECT no, doc_id, len(w) AS len, unnest(w) AS term FROM docs)
+ SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counted, sums GROUP BY term, n_docs),
+scored AS (SELECT item_no, item_id, doc_id,
+ sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len * n_docs) // n_terms))))::BIGINT AS score
+ FROM counted JOIN weights USING (term) JOIN asked USING (term), sums GROUP BY item_no, item_id, no, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""")
+def op11_ranked_search(spark, sf):
+    return lexical.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
