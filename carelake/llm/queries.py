@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from carelake.llm import (
-    decontamination, lexical, licenses, linededup, merkle, pieces, secrets, sharding, simhash, topk, toxicity, warc,
+    decontamination, lexical, licenses, linededup, merkle, personal, pieces, secrets, sharding, simhash, topk,
+    toxicity, warc,
 )
 from carelake.llm.common import ORACLE, QUERIES, query, table  # noqa: F401
 
@@ -275,3 +276,18 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""")
 def op11_ranked_search(spark, sf):
     return lexical.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
+@query("op13_personal_field")
+def op13_personal_field(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = personal.find_personal(docs, personal.train(personal.sample_texts(docs)))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*personal.TYPES))
+    return found.select("doc_id", *map(count, personal.TYPES), F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
