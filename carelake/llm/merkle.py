@@ -65,24 +65,30 @@ def steps_of(levels: list[list[str]], at: int, fanout: int) -> list[tuple[str, s
 
 
 def _blocks(leaves: DataFrame, fanout: int, block_levels: int) -> DataFrame:
-    """``tree, block, blocks, members``: aligned blocks of the numbered leaves, with the number of blocks of the tree."""
+    """``tree, block, members``: aligned blocks of the numbered leaves."""
     size = fanout ** block_levels
     numbered = number_rows(leaves.withColumn("tie", F.monotonically_increasing_id()), ["key", "leaf", "tie"], ["tree"], "pos")
-    cut = staged(numbered.groupBy("tree", F.expr(f"pos div {size}").alias("block")).agg(
+    return staged(numbered.groupBy("tree", F.expr(f"pos div {size}").alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("pos", "key", "leaf", "given"))).alias("members")), "merkle-blocks")
-    return cut.join(cut.groupBy("tree").agg((F.max("block") + 1).alias("blocks")), "tree")
 
 
 def _tops(blocks: DataFrame, fanout: int, block_levels: int) -> DataFrame:
-    """``tree, block, blocks, node``: the top node of each block."""
+    """``tree, block, blocks, node``: the top node of each block, and the number of blocks of its tree.
+
+    A block alone in its tree ends at its one root, others at their last level;
+    which of both it is, is told once the narrow rows have met their tree's count.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [levels_of(leaves, fanout, None if n == 1 else block_levels)[-1][0]
-                     for leaves, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.string())],
-                                             names=["tree", "block", "blocks", "node"])
-    return blocks.select("tree", "block", "blocks", "members.leaf").mapInArrow(
-        run, "tree string, block long, blocks long, node string")
+            rows = batch.column(2).to_pylist()
+            ends = [pa.array([levels_of(leaves, fanout, further)[-1][0] for leaves in rows], pa.string())
+                    for further in (None, block_levels)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *ends], names=["tree", "block", "alone", "node"])
+    tops = staged(blocks.select("tree", "block", "members.leaf").mapInArrow(
+        run, "tree string, block long, alone string, node string"), "merkle-tops")
+    counts = tops.groupBy("tree").agg((F.max("block") + 1).alias("blocks"))
+    return tops.join(counts, "tree").select(
+        "tree", "block", "blocks", F.when(F.col("blocks") == 1, F.col("alone")).otherwise(F.col("node")).alias("node"))
 
 
 def butterfly(tops: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -115,7 +121,7 @@ def butterfly(tops: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 def _paths(blocks: DataFrame, fanout: int, block_levels: int) -> DataFrame:
     """``key, root, path``: the whole proof of every leaf, for a tree whose leaves are few."""
-    above = butterfly(_tops(blocks, fanout, block_levels), fanout).withColumnRenamed("node", "root").drop("blocks")
+    above = butterfly(_tops(blocks, fanout, block_levels), fanout).withColumnRenamed("node", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +160,7 @@ def manifest(rows: DataFrame, fanout: int = FANOUT, block_levels: int = BLOCK_LE
         F.lit("").alias("tree"), F.col("tree").alias("key"), F.col("subroot").alias("leaf"),
         F.lit(None).cast("string").alias("given"))
     upper = _paths(_blocks(subroots, fanout, block_levels), fanout, block_levels).select(F.col("key").alias("tree"), "root", F.col("path").alias("top"))
-    above = roots.join(upper, "tree").select("tree", "block", "subroot", "root", F.concat("path", "top").alias("path"))
+    above = roots.join(upper, "tree").select("tree", "block", "blocks", "subroot", "root", F.concat("path", "top").alias("path"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
