@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 import check
 import corpus_pipeline
-from carelake.llm import decontamination, linededup, pieces, simhash, topk, toxicity, warc
+from carelake.llm import decontamination, linededup, pieces, topk, toxicity, warc
 from carelake.llm.queries import ORACLE, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -32,7 +32,7 @@ def test_query(spark, con, name):
 
 def test_all_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 # --- top-k ----------------------------------------------------------------------------------------------------------
@@ -158,18 +158,24 @@ def test_pipeline_is_its_stages_by_brute_force(spark, con, tmp_path):
         by_size.setdefault(len(line), []).append(line)
     near = set()
     for line, place in first.items():
-        for size in range(len(line) - 2, len(line) + 3):
+        wide = linededup.allowed(len(line))
+        for size in range(len(line) - wide, len(line) + wide + 1):
             for other in by_size.get(size, ()):
                 most = linededup.allowed(min(len(line), size))
                 if first[other] < place and most and linededup.edit_distance(line, other, most) <= most:
                     near.add(line)
     gone = {(i, n) for i, n, line in lines if first[line] != (i, n) or line in near}
     rows = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows.items()}
-    prints = {i: simhash._simhash(t.encode().lower().split(), 5) % (1 << 64) for i, t in rows.items()}
+    sets = {}
+    for i, t in rows.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[n:n + 5]) for n in range(max(1, len(w) - 4))} if w else set()
+
+    def alike(a, b):
+        return 5 * len(a & b) >= 4 * len(a | b)
     kept = {}
     for i in sorted(rows):  # grow groups from their smallest document
-        group = {g for g, members in kept.items() if any((prints[i] ^ prints[m]).bit_count() <= corpus_pipeline.BITS
-                                                         for m in members)}
+        group = {g for g, members in kept.items() if any(alike(sets[i], sets[m]) for m in members)}
         merged = [i] + [m for g in group for m in kept.pop(g)]
         kept[min(merged)] = merged
     rows = {i: rows[i] for i in kept}
