@@ -31,29 +31,16 @@ def _differs(columns: list[str]) -> Column:
 
 def compare_and_upsert(existing: DataFrame, incoming: DataFrame, keys: list[str],
                        compared: list[str], ordinal: str, as_of: Column,
-                       force: bool = False, small_batch: bool = False) -> DataFrame:
+                       force: bool = False) -> DataFrame:
     """The next rows with an ``action``: saved, updated, skipped, or kept when not incoming.
 
     Absent keys are inserted; present ones are overwritten when a compared
     column differs (null-safe) or ``force`` is set. ``created_at`` survives.
-
-    A batch about as large as the table meets it in one full outer join. With
-    ``small_batch`` the table is the left side of a left join, so a batch that
-    fits a broadcast leaves the table unshuffled; only the table's keys are
-    read once more, to tell which incoming keys are new. Both give the same.
+    Table and batch meet in one full outer join; of a stored table only the
+    buckets that the batch touches need to come (``sources.keyed``).
     """
     valid, _ = split_required(incoming, keys)
     fresh = newest(valid, keys, ordinal).drop(ordinal, *STAMPS)
-    if not small_batch:
-        return _next_rows(existing, fresh, keys, compared, as_of, force, "full_outer")
-    present = existing.select(*keys).join(fresh.select(*keys), keys, "left_semi")
-    added = fresh.join(present, keys, "left_anti")
-    return _next_rows(existing, fresh, keys, compared, as_of, force, "left").unionByName(
-        _next_rows(existing.limit(0), added, keys, compared, as_of, force, "right"))
-
-
-def _next_rows(existing: DataFrame, fresh: DataFrame, keys: list[str], compared: list[str],
-               as_of: Column, force: bool, how: str) -> DataFrame:
     values = [c for c in existing.columns if c not in keys and c not in STAMPS]
     old = existing.withColumn("_old", F.lit(True)).alias("old")
     new = fresh.withColumn("_new", F.lit(True)).alias("new")
@@ -66,7 +53,7 @@ def _next_rows(existing: DataFrame, fresh: DataFrame, keys: list[str], compared:
     def value(c):
         return f"if({write}, new.`{c}`, old.`{c}`) AS `{c}`" if c in given else f"old.`{c}`"
 
-    return (old.join(new, on, how)
+    return (old.join(new, on, "full_outer")
             .withColumns({"action": action, "_as_of": as_of})
             .selectExpr(*[f"coalesce(old.`{k}`, new.`{k}`) AS `{k}`" for k in keys],
                         *[value(c) for c in values],
@@ -75,10 +62,9 @@ def _next_rows(existing: DataFrame, fresh: DataFrame, keys: list[str], compared:
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], ordinal: str,
-           as_of: Column, small_batch: bool = False) -> DataFrame:
+           as_of: Column) -> DataFrame:
     """Overwrite every non-key column of the keys that arrive; insert the new ones."""
-    return compare_and_upsert(existing, incoming, keys, [], ordinal, as_of, force=True,
-                              small_batch=small_batch).drop("action")
+    return compare_and_upsert(existing, incoming, keys, [], ordinal, as_of, force=True).drop("action")
 
 
 def save_counts(existing: DataFrame, incoming: DataFrame, keys: list[str], compared: list[str],

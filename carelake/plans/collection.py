@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelake import schemas
-from carelake.operators.layout import planned_bytes
 from carelake.operators.upsert import compare_and_upsert, save_counts, upsert
 from carelake.session import staged
-from carelake.sources import envelope
+from carelake.sources import envelope, keyed
 
 ORDINAL, UNREADABLE = "ordinal", "unreadable"
-SMALL_BATCH_BYTES = 8 * 1024 * 1024  # below Spark's own limit for a broadcast
 
 
 def typed_rows(normalised: DataFrame, table: str, unwrap: bool = False,
@@ -60,14 +58,22 @@ def collect(existing: DataFrame, normalised: DataFrame, table: str, as_of: Colum
             force: bool = False, unwrap: bool = False, stop_rule: bool = True) -> DataFrame:
     """Next rows of ``table``; facility tables are compared first and carry an ``action``.
 
-    The typed rows of the batch are written once, and their size decides how
-    the table is met.
+    The typed rows of the batch are written once and meet the rows of the table
+    in one full outer join; ``collect_into`` brings only the buckets of a stored
+    table that the batch touches.
     """
-    rows = staged(incoming_rows(normalised, table, unwrap, stop_rule), f"incoming-{table}")
-    keys, small = schemas.KEYS[table], planned_bytes(rows) < SMALL_BATCH_BYTES
+    rows, keys = staged(incoming_rows(normalised, table, unwrap, stop_rule), f"incoming-{table}"), schemas.KEYS[table]
     if table in schemas.COMPARED:
-        return compare_and_upsert(existing, rows, keys, schemas.COMPARED[table], ORDINAL, as_of, force, small)
-    return upsert(existing, rows, keys, ORDINAL, as_of, small)
+        return compare_and_upsert(existing, rows, keys, schemas.COMPARED[table], ORDINAL, as_of, force)
+    return upsert(existing, rows, keys, ORDINAL, as_of)
+
+
+def collect_into(spark: SparkSession, base: str, normalised: DataFrame, table: str, as_of: Column, cycle: str,
+                 force: bool = False, unwrap: bool = False, stop_rule: bool = True) -> list[int]:
+    """The same into the keyed table at ``base``; gives the buckets that were rewritten."""
+    rows = staged(incoming_rows(normalised, table, unwrap, stop_rule), f"incoming-{table}")
+    return keyed.merge(spark, base, rows, schemas.KEYS[table], schemas.COMPARED.get(table, []), ORDINAL, as_of, cycle,
+                       force or table not in schemas.COMPARED)
 
 
 def collection_counts(existing: DataFrame, normalised: DataFrame, table: str,

@@ -15,7 +15,7 @@ from carelake.plans import collection
 from carelake.registry import query
 from carelake.registry.standins import table
 from carelake.session import scratch_path
-from carelake.sources import envelope, snapshots
+from carelake.sources import envelope, keyed, snapshots
 from carelake.streaming import recollect
 
 PAGE = 40
@@ -472,12 +472,58 @@ def snapshot_refresh(spark, sf):
     return newest.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _recollected(spark, landing, existing, name, files_per_run):
+    """A keyed table of ``existing``, moved on by a stream over the landed pages."""
+    base = scratch_path(spark, "table")
+    keyed.create(existing, base, schemas.KEYS[name], buckets=8)
+    recollect.run(spark, landing, base, name, F.lit(NOW).cast("timestamp"), "february", scratch_path(spark, "progress"),
+                  files_per_run)
+    return base
+
+
 @query("recollected_feed", _upsert_sql("emergency", "SELECT * EXCLUDE (action) FROM result"))
 def recollected_feed(spark, sf):
-    """The feed landed as files, taken by a stream in several runs; the last snapshot."""
-    landing, base = scratch_path(spark, "landing"), scratch_path(spark, "table")
-    snapshots.write_snapshot(existing_rows(spark, sf, "emergency").withColumn("action", F.lit("kept")), base, 0)
+    """The feed landed as files, taken by a stream in several runs into a table in buckets."""
+    landing = scratch_path(spark, "landing")
     feed_pages(spark, sf, "emergency").write.parquet(landing)
-    recollect.run(spark, landing, base, "emergency", F.lit(NOW).cast("timestamp"), scratch_path(spark, "progress"), files_per_run=4)
-    last = snapshots.read_snapshot(spark, base, snapshots.latest_version(spark, base))
-    return _as_text(last, "emergency").drop("action")
+    base = _recollected(spark, landing, existing_rows(spark, sf, "emergency"), "emergency", files_per_run=4)
+    return _as_text(keyed.table(spark, base), "emergency")
+
+
+@query("recollected_twice", _upsert_sql("emergency", """
+SELECT result.* EXCLUDE (action), runs FROM result, (VALUES ('each file by itself'), ('all files at once')) AS r(runs)"""))
+def recollected_twice(spark, sf):
+    """Two collections of which the newer one comes first, cut into runs in two ways."""
+    landing, pages = scratch_path(spark, "landing"), feed_pages(spark, sf, "emergency")
+    late = pages.withColumn("landed", F.lit("2024-02-01 06:00:00").cast("timestamp"))
+    early = pages.withColumns({"payload": F.replace("payload", F.lit("duty_name-"), F.lit("early-")),
+                               "landed": F.lit("2024-01-31 06:00:00").cast("timestamp")})
+    for part in (late, early):
+        part.coalesce(2).write.mode("append").parquet(landing)
+    existing = existing_rows(spark, sf, "emergency")
+    parts = [_as_text(keyed.table(spark, _recollected(spark, landing, existing, "emergency", files)), "emergency").withColumn(
+        "runs", F.lit(runs)) for files, runs in ((1, "each file by itself"), (1000, "all files at once"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("cycle_outcomes", _upsert_sql("pharmacy", """
+SELECT action, count(*) AS n FROM result WHERE action <> 'kept' GROUP BY 1"""))
+def cycle_outcomes(spark, sf):
+    """What one collection did to a table in buckets, read from the table."""
+    base = scratch_path(spark, "table")
+    keyed.create(existing_rows(spark, sf, "pharmacy"), base, schemas.KEYS["pharmacy"], buckets=8)
+    collection.collect_into(spark, base, envelope.normalise(feed_pages(spark, sf, "pharmacy")), "pharmacy",
+                            F.lit(NOW).cast("timestamp"), "february")
+    return keyed.outcomes(spark, base, "february")
+
+
+@query("bucket_deletes", """
+SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)""")
+def bucket_deletes(spark, sf):
+    """Deletes by key from a table in buckets, whose old bucket versions then go."""
+    base = scratch_path(spark, "table")
+    keyed.create(table(spark, sf, "customer").select("c_custkey", "c_name"), base, ["c_custkey"], buckets=16)
+    gone = table(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    keyed.delete(spark, base, gone, ["c_custkey"])
+    keyed.vacuum(spark, base)
+    return keyed.table(spark, base)

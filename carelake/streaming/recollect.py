@@ -1,27 +1,28 @@
-"""Scheduled re-collection: landed pages in, the next table snapshot out."""
+"""Scheduled re-collection: landed pages in, a keyed table moved on."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.plans.collection import collect
+from carelake.plans.collection import collect_into
 from carelake.sources.envelope import normalise
-from carelake.sources.snapshots import read_snapshot, write_snapshot
 
 PAGE_SCHEMA = "source string, page_no bigint, batch_size bigint, payload string, landed timestamp"
 
 
-def run(spark: SparkSession, landing: str, base: str, table: str, as_of: Column, progress: str,
+def run(spark: SparkSession, landing: str, base: str, table: str, as_of: Column, cycle: str, progress: str,
         files_per_run: int = 1000, force: bool = False, unwrap: bool = False, source: str | None = None) -> None:
-    """Take the pages that landed since the last call and stop.
-
-    Run ``n`` of the stream reads snapshot ``n`` and writes snapshot ``n + 1``,
-    so a repeated run overwrites its own half-written output with the same
-    rows, and the upsert makes pages that land twice harmless. Every readable
-    page counts, as the pages of a source may land in different runs. The
-    clock that calls this is the caller's. Of several collections in one run
-    the one that landed last wins; ``source`` takes the pages of one source.
+    """Take the pages that landed since the last call into the keyed table at ``base``, and stop.
+
+    Each micro-batch rewrites the buckets that its keys fall into. Of the
+    versions of a key the one that landed last wins, whichever batch or call it
+    comes in, so the rows depend neither on ``files_per_run`` nor on the order
+    of the files, and a batch that runs again changes nothing. Calls that
+    finish one collection carry one ``cycle`` and one ``as_of``; the next
+    collection compares with what that one left. Every readable page counts, as
+    the pages of a source may land in different runs. The clock that calls this
+    is the caller's; ``source`` takes the pages of one source.
     """
     pages = (spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", files_per_run)
              .parquet(landing))
@@ -29,10 +30,7 @@ def run(spark: SparkSession, landing: str, base: str, table: str, as_of: Column,
         pages = pages.where(F.col("source") == source)
 
     def apply(batch: DataFrame, run_no: int) -> None:
-        session = batch.sparkSession
-        before = read_snapshot(session, base, run_no).drop("action")
-        after = collect(before, normalise(batch), table, as_of, force, unwrap, stop_rule=False)
-        write_snapshot(after, base, run_no + 1)
+        collect_into(batch.sparkSession, base, normalise(batch), table, as_of, cycle, force, unwrap, stop_rule=False)
 
     (pages.writeStream.foreachBatch(apply).option("checkpointLocation", progress)
      .trigger(availableNow=True).start().awaitTermination())
