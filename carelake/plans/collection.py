@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelake import schemas
+from carelake.functions import checks
 from carelake.operators.upsert import compare_and_upsert, save_counts, upsert
 from carelake.session import staged
 from carelake.sources import envelope, keyed
 
-ORDINAL, UNREADABLE = "ordinal", "unreadable"
+ORDINAL, FAILED = "ordinal", "failed"
 
 
 def typed_rows(normalised: DataFrame, table: str, unwrap: bool = False,
                stop_rule: bool = True) -> DataFrame:
-    """Typed rows of ``table`` with an ordinal, and ``unreadable``: the columns whose text is no value of their type.
+    """Typed rows of ``table`` with an ordinal, and ``failed``: the checks (type, allowed values, range) that a row fails.
 
     ``stop_rule`` takes the pages a paged fetch would have taken; without it
     every readable page counts, as when pages land in pieces. The ordinal is
@@ -29,23 +32,20 @@ def typed_rows(normalised: DataFrame, table: str, unwrap: bool = False,
     rows = envelope.item_rows(pages, unwrap)
     landed = ["landed"] if "landed" in rows.columns else []
     raw = envelope.fields(rows, names, [*landed, "page_no", "item_no"])
-    broken = ", ".join(f"if(`{c}` IS NOT NULL AND try_cast(`{c}` AS {types[c]}) IS NULL, struct('{c}' AS name, `{c}` AS text), NULL)"
-                       for c in names if types[c] != "string")
-    none = "CAST(array() AS array<struct<name:string,text:string>>)"
     content = ", ".join(f"`{c}`" for c in names)
     return raw.selectExpr(*[f"try_cast(`{c}` AS {types[c]}) AS `{c}`" for c in names],
                           f"struct({', '.join([*landed, 'page_no', 'item_no'])}, xxhash64({content}) AS content) AS {ORDINAL}",
-                          f"{f'array_compact(array({broken}))' if broken else none} AS {UNREADABLE}")
+                          f"{checks.failed_checks(table, {c: types[c] for c in names})} AS {FAILED}")
 
 
 def readable(rows: DataFrame) -> DataFrame:
-    """The rows that may be written: a value that cannot be read must not overwrite one that could."""
-    return rows.where(F.size(UNREADABLE) == 0).drop(UNREADABLE)
+    """The rows that may be written: a value that cannot be read or is not allowed must not overwrite one that is."""
+    return rows.where(F.size(FAILED) == 0).drop(FAILED)
 
 
 def quarantined_values(rows: DataFrame, table: str) -> DataFrame:
-    """``table_name``, the key columns, ``name`` and ``text`` of each value of ``typed_rows`` that cannot be read."""
-    return rows.select(F.lit(table).alias("table_name"), *schemas.KEYS[table], F.inline(UNREADABLE))
+    """``table_name``, the key columns, ``name, check, text`` of each value of ``typed_rows`` that fails a check."""
+    return rows.select(F.lit(table).alias("table_name"), *schemas.KEYS[table], F.inline(FAILED))
 
 
 def incoming_rows(normalised: DataFrame, table: str, unwrap: bool = False,
@@ -78,11 +78,19 @@ def collect_into(spark: SparkSession, base: str, normalised: DataFrame, table: s
 
 def collection_counts(existing: DataFrame, normalised: DataFrame, table: str,
                       force: bool = False, unwrap: bool = False) -> DataFrame:
-    """Counts by outcome; rows that hold an unreadable value are errors, as those without a key are."""
+    """Counts by outcome; rows that fail a check are errors, as those without a key are."""
     rows = staged(typed_rows(normalised, table, unwrap), f"counted-{table}")
     counts = save_counts(existing, readable(rows), schemas.KEYS[table], schemas.COMPARED.get(table, []), ORDINAL,
                          force or table not in schemas.COMPARED)
-    broken = F.count(F.when(F.size(UNREADABLE) > 0, 1))
+    broken = F.count(F.when(F.size(FAILED) > 0, 1))
     none = F.lit(0).cast("long")
     errors = rows.agg(*[(broken if c in ("total_count", "error_count") else none).alias(c) for c in counts.columns])
     return counts.unionByName(errors).agg(*[F.sum(c).alias(c) for c in counts.columns])
+
+
+def error_counts(rows: DataFrame, table: str) -> DataFrame:
+    """``check, n``: rows of ``typed_rows`` that fail each kind of check; ``required`` are those without a key."""
+    keyless = [F.coalesce(F.col(k).cast("string"), F.lit("")) == "" for k in schemas.KEYS[table]]
+    required = F.when(reduce(Column.__or__, keyless), F.array(F.lit("required"))).otherwise(F.array().cast("array<string>"))
+    kinds = F.array_distinct(F.concat(F.transform(FAILED, lambda f: f["check"]), required))
+    return rows.select(F.explode(kinds).alias("check")).groupBy("check").agg(F.count(F.lit(1)).alias("n"))

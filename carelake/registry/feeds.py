@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelake import schemas
-from carelake.functions import clock, text
+from carelake.functions import checks, clock, text
 from carelake.operators import filters, numbering, rollups, upsert
 from carelake.plans import collection
 from carelake.registry import query
@@ -222,8 +222,11 @@ def _plain(table_name):
     return [c for c in schemas.column_names(table_name) if c not in ("created_at", "updated_at")]
 
 
-def _value(field: T.StructField, place: int, changed: str) -> str:
+def _value(name: str, field: T.StructField, place: int, changed: str) -> str:
     """SQL text of one column, as a string; ``changed`` is a suffix expression or ''."""
+    if (name, field.name) in schemas.ALLOWED:
+        first, second = schemas.ALLOWED[name, field.name]
+        return f"CASE WHEN (p_size{f' + length({changed})' if changed else ''}) % 2 = 0 THEN '{first}' ELSE '{second}' END"
     suffix = f" || {changed}" if changed else ""
     if isinstance(field.dataType, T.StringType):
         return f"'{field.name}-' || p_brand{suffix}"
@@ -245,7 +248,7 @@ def _columns(name: str, changed) -> dict[str, str]:
     keys, out = schemas.KEYS[name], {}
     for i, field in enumerate(f for f in schemas.schema(name) if f.name in _plain(name)):
         out[field.name] = _key(field, keys.index(field.name)) if field.name in keys \
-            else _value(field, i, changed(field.name))
+            else _value(name, field, i, changed(field.name))
     return out
 
 
@@ -294,7 +297,7 @@ def feed_pages(spark, sf, name) -> DataFrame:
         value = F.expr(e)
         if c in schemas.KEYS[name]:
             value = F.when(F.col("p_brand") == "Brand#9", "").otherwise(value)
-        elif isinstance(kinds[c], T.StringType):
+        elif isinstance(kinds[c], T.StringType) and (name, c) not in schemas.ALLOWED:
             value = F.when(newest, value).otherwise(F.lit("older"))
         camel.append(value.alias(text.camel_key(c)))
         upper.append(value.alias(c.upper()))
@@ -378,6 +381,72 @@ def save_counts(spark, sf):
     return collection.collection_counts(existing_rows(spark, sf, "emergency"), pages, "emergency")
 
 
+# Items of the emergency feed of which some hold no number, a number that does not fit, or a value that is not allowed.
+_FLAWED = {
+    "hpid": "CASE WHEN p_brand = 'Brand#9' THEN '' ELSE 'k' || CAST(p_partkey AS VARCHAR(20)) END", "duty_name": "p_name",
+    "hvec": "CAST(p_size AS VARCHAR(20)) || CASE WHEN p_type = 'SMALL' THEN 'x' ELSE '' END",
+    "wgs84_lon": "CASE WHEN p_size % 11 = 0 THEN '9999.5' ELSE '126.5' END",
+    "m_kiosk_ty25": "CASE WHEN p_size % 7 = 0 THEN 'Z' ELSE 'Y' END"}
+_FLAWED_SQL = f"""WITH f AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _FLAWED.items())}, p_type = 'SMALL' AS no_number,
+ p_size % 11 = 0 AS no_fit, p_size % 7 = 0 AS not_allowed, p_brand = 'Brand#9' AS keyless, p_size <= 25 AS known FROM part),
+p AS (SELECT c_custkey AS id, c_custkey % 200 AS user_age FROM customer),
+m AS (SELECT conv_id, turn, CASE turn WHEN 1 THEN '' WHEN 2 THEN repeat(text, 40) ELSE text END AS content FROM conversations)
+"""
+
+
+def _flawed_rows(spark, sf):
+    rows = table(spark, sf, "part").selectExpr("p_partkey", *[f"{e} AS {c.upper()}" for c, e in _FLAWED.items()])
+    items = rows.groupBy((F.floor(F.col("p_partkey") / 50) + 1).alias("page_no")).agg(F.sort_array(F.collect_list(F.struct(
+        "p_partkey", F.to_json(F.struct(*[c.upper() for c in _FLAWED])).alias("item"))))["item"].alias("items"))
+    payload = F.concat(F.lit('{"header":{"resultCode":"00"},"body":{"items":['), F.array_join("items", ","),
+                       F.lit('],"totalCount":1000000000000,"numOfRows":50}}'))
+    pages = items.select(F.lit("emergency").alias("source"), "page_no", F.lit(50).cast("bigint").alias("batch_size"),
+                         payload.alias("payload"))
+    return envelope.normalise(pages)
+
+
+@query("quarantined_values", _FLAWED_SQL + """
+SELECT 'emergency' AS table_name, nullif(hpid, '') AS key, 'hvec' AS name, 'type' AS check, hvec AS text FROM f WHERE no_number
+UNION ALL SELECT 'emergency', nullif(hpid, ''), 'wgs84_lon', 'type', wgs84_lon FROM f WHERE no_fit
+UNION ALL SELECT 'emergency', nullif(hpid, ''), 'm_kiosk_ty25', 'allowed', m_kiosk_ty25 FROM f WHERE not_allowed
+UNION ALL SELECT 'people', CAST(id AS VARCHAR), 'user_age', 'range', CAST(user_age AS VARCHAR) FROM p WHERE user_age > 150
+UNION ALL SELECT 'messages', CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR), 'content', 'length', content
+FROM m WHERE length(content) NOT BETWEEN 1 AND 1000""")
+def quarantined_values(spark, sf):
+    """Values of three tables that fail a check: of their type, of what is allowed, of a range, of a length."""
+    feed = collection.quarantined_values(collection.typed_rows(_flawed_rows(spark, sf), "emergency"), "emergency")
+    people = table(spark, sf, "customer").selectExpr("c_custkey AS id", "CAST(c_custkey % 200 AS INT) AS user_age")
+    messages = table(spark, sf, "conversations").selectExpr(
+        "conv_id", "turn", "CASE turn WHEN 1 THEN '' WHEN 2 THEN repeat(text, 40) ELSE text END AS content")
+    parts = [feed.withColumn("key", F.nullif("hpid", F.lit(""))),
+             checks.failing(people, "people", ["id"]).withColumn("key", F.col("id").cast("string")),
+             checks.failing(messages, "messages", ["conv_id", "turn"]).withColumn("key", F.concat_ws("/", "conv_id", "turn"))]
+    return reduce(DataFrame.unionByName, [p.select("table_name", "key", "name", "check", "text") for p in parts])
+
+
+@query("error_counts", _FLAWED_SQL + """
+SELECT 'type' AS check, count(*) AS n FROM f WHERE no_number OR no_fit
+UNION ALL SELECT 'allowed', count(*) FROM f WHERE not_allowed UNION ALL SELECT 'required', count(*) FROM f WHERE keyless""")
+def error_counts(spark, sf):
+    return collection.error_counts(collection.typed_rows(_flawed_rows(spark, sf), "emergency"), "emergency")
+
+
+@query("checked_save_counts", _FLAWED_SQL + """
+SELECT count(*) AS total_count, count(*) FILTER (WHERE good AND NOT known) AS saved_count,
+ count(*) FILTER (WHERE good AND known AND hpid LIKE '%7') AS updated_count,
+ count(*) FILTER (WHERE good AND known AND hpid NOT LIKE '%7') AS skipped_count,
+ count(*) FILTER (WHERE NOT good) AS error_count, 0 AS superseded_count
+FROM (SELECT *, NOT (no_number OR no_fit OR not_allowed OR keyless) AS good FROM f)""")
+def checked_save_counts(spark, sf):
+    """Counts by outcome where rows fail for every kind of reason; each such row is one error."""
+    known = table(spark, sf, "part").where("p_size <= 25 AND p_brand <> 'Brand#9'")
+    types = {f.name: f.dataType for f in schemas.schema("emergency")}
+    given = {"hpid": F.expr(_FLAWED["hpid"]), "wgs84_lon": F.lit("126.5"),
+             "duty_name": F.when(F.col("p_partkey") % 10 == 7, "before").otherwise(F.col("p_name"))}
+    existing = known.select(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+    return collection.collection_counts(existing, _flawed_rows(spark, sf), "emergency")
+
+
 @query("forced_update", _upsert_sql("trauma").split("result AS")[0].rstrip().rstrip(",") + f"""
 SELECT CASE WHEN action = 'skipped' THEN 'updated' ELSE action END AS action, count(*) AS n FROM j GROUP BY 1""")
 def forced_update(spark, sf):

@@ -110,10 +110,11 @@ COMPARED = {
     "trauma": "duty_name duty_addr duty_tel1 wgs84_lon wgs84_lat".split(),
 }
 
-# Allowed values and ranges.
+# What a column may hold. ``functions.checks`` makes one expression of them; every write goes through it.
 ALLOWED = {("symptom_logs", "recommendation"): ("PHARMACY", "HOSPITAL")}
 ALLOWED |= {(t, c): ("Y", "N") for t in ("emergency", "trauma") for c in _KIOSK.split()}
-AGE_RANGE, CONFIDENCE_RANGE, MESSAGE_CHARS = (0, 150), (0.0, 1.0), (1, 1000)
+RANGES = {("people", "user_age"): (0, 150), ("options", "confidence"): (0.0, 1.0)}
+LENGTHS = {("messages", "content"): (1, 1000)}
 
 
 def column_names(table: str) -> list[str]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carelake import schemas
-from carelake.functions import advice, replies
+from carelake.functions import advice, checks, replies
 from carelake.operators import filters, vectors
 from carelake.plans import collection
 from carelake.sources import dumps, envelope
@@ -107,13 +107,30 @@ def test_unreadable_values_are_errors_and_overwrite_nothing(spark):
         {key.upper(): "A", number.upper(): "12x"}, {key.upper(): "B", number.upper(): "12.5"}]))
     rows = collection.typed_rows(pages, "emergency")
     bad = collection.quarantined_values(rows, "emergency").collect()
-    assert [(r.table_name, r[key], r["name"], r["text"]) for r in bad] == [("emergency", "A", number, "12x")]
+    assert [(r.table_name, r[key], r["name"], r["check"], r["text"]) for r in bad] == [("emergency", "A", number, "type", "12x")]
     assert [r[key] for r in collection.incoming_rows(pages, "emergency").collect()] == ["B"]
     empty = spark.createDataFrame([], schemas.schema("emergency"))
     counts = collection.collection_counts(empty, pages, "emergency").first()
     assert (counts.total_count, counts.saved_count, counts.error_count) == (2, 1, 1)
 
 
+def test_checks_before_a_write(spark):
+    pages = envelope.normalise(emergency_page(spark, [
+        {"HPID": "A", "M_KIOSK_TY25": "Z"}, {"HPID": "B", "M_KIOSK_TY25": "Y"}, {"HPID": "C", "HVEC": "3.x", "M_KIOSK_TY1": "no"},
+        {"HPID": "", "M_KIOSK_TY1": "N"}]))
+    rows = collection.typed_rows(pages, "emergency")
+    bad = {(r.hpid, r["name"], r["check"]) for r in collection.quarantined_values(rows, "emergency").collect()}
+    assert bad == {("A", "m_kiosk_ty25", "allowed"), ("C", "hvec", "type"), ("C", "m_kiosk_ty1", "allowed")}
+    assert {r.check: r.n for r in collection.error_counts(rows, "emergency").collect()} == {"allowed": 2, "type": 1, "required": 1}
+    counts = collection.collection_counts(spark.createDataFrame([], schemas.schema("emergency")), pages, "emergency").first()
+    assert (counts.total_count, counts.saved_count, counts.error_count) == (4, 1, 3)
+    options = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 1.5), (4, -0.1), (5, None)], "id int, confidence double")
+    assert sorted(r.id for r in checks.failing(options, "options", ["id"]).collect()) == [3, 4]
+    logs = spark.createDataFrame([(1, "PHARMACY"), (2, "it's"), (3, None)], "log_id long, recommendation string")
+    assert [(r.log_id, r.text) for r in checks.failing(logs, "symptom_logs", ["log_id"]).collect()] == [(2, "it's")]
+    assert logs.where(checks.holds("symptom_logs", {"recommendation": "string"})).count() == 2
+
+
 def test_dump_order_follows_the_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"title": "t", "text": "first"}\n')
     (tmp_path / "b.jsonl").write_text("".join(f'{{"title": "t", "text": "later {i} {"x" * 200}"}}\n' for i in range(300)))
