@@ -208,3 +208,55 @@ SELECT session_id, 'turn' AS key, CAST(seq AS VARCHAR) AS value FROM c
 UNION ALL SELECT session_id, 'chars', CAST(length(content) AS VARCHAR) FROM c""")
 def live_context(spark, sf):
     return session_log.live_context(session_events(spark, sf), F.timestamp_seconds(F.lit(_AS_OF)))
+
+
+def _stream(spark, parts, **options):
+    """Land and take each part of the events in turn; gives where the outcomes and the state are."""
+    landing, out, progress = (scratch_path(spark, p) for p in ("events", "outcomes", "progress"))
+    for part in parts:
+        part.repartition(spark.sparkContext.defaultParallelism, F.xxhash64("session_id", "seq")).write.mode("append").parquet(landing)
+        session_state.run(spark, landing, out, progress, partitions=spark.sparkContext.defaultParallelism, **options)
+    return out, progress
+
+
+@query("history_from_state", _LIVE + "SELECT session_id, seq, role, md5(content) AS digest FROM live WHERE kind = 'message'")
+def history_from_state(spark, sf):
+    """The same as ``live_history``, read from the state that the stream left in its checkpoint."""
+    rows = session_events(spark, sf)
+    _, progress = _stream(spark, [rows.where("seq % 3 = 1"), rows.where("seq % 3 <> 1")])
+    found = session_state.history(spark, progress, F.timestamp_seconds(F.lit(_AS_OF)))
+    return found.select("session_id", "seq", "role", F.md5("content").alias("digest"))
+
+
+@query("context_from_state", _LIVE + """
+, c AS (SELECT session_id, arg_max(content, seq) AS content, max(seq) AS seq FROM live WHERE kind = 'context' GROUP BY 1)
+SELECT session_id, 'turn' AS key, CAST(seq AS VARCHAR) AS value FROM c
+UNION ALL SELECT session_id, 'chars', CAST(length(content) AS VARCHAR) FROM c""")
+def context_from_state(spark, sf):
+    """Facts of context events, read from the state; facts that answers gave stand beside them there."""
+    _, progress = _stream(spark, [session_events(spark, sf)])
+    return session_state.context(spark, progress, F.timestamp_seconds(F.lit(_AS_OF))).where("key <> 'age'")
+
+
+_MISSING, _LATE = "session_id % 7 = 0 AND seq = 1", "session_id % 11 = 0 AND seq = 2"
+
+
+@query("expired_sessions", _EVENTS + f""",
+landed AS (SELECT * FROM ev WHERE NOT ({_MISSING})),
+mark AS (SELECT max(at_s) - 3600 AS at FROM landed WHERE NOT ({_LATE})),
+taken AS (SELECT * FROM landed, mark WHERE NOT ({_LATE}) OR at_s > mark.at)
+SELECT session_id, 1 AS expired, max(seq) + 1 - count(*) AS skipped, count(*) AS applied FROM taken GROUP BY session_id""")
+def expired_sessions(spark, sf):
+    """Sessions that end by event time, some with events that never land, some with late ones; a last event far ahead ends all."""
+    rows = session_events(spark, sf).where(f"NOT ({_MISSING})")
+    last = rows.limit(1).select(*[F.lit(-1).cast("bigint").alias("session_id") if c == "session_id" else
+                                  F.lit(0).cast(rows.schema[c].dataType).alias(c) if c == "seq" else
+                                  F.lit("2024-02-01 00:00:00").cast("timestamp").alias(c) if c == "at" else c for c in rows.columns])
+    out, _ = _stream(spark, [rows.where(f"NOT ({_LATE})"), rows.where(_LATE), last], event_time=True)
+
+    def count(condition):
+        return F.count(F.when(F.expr(condition), 1))
+    return spark.read.parquet(out).where("session_id >= 0").groupBy("session_id").agg(
+        count("kind = 'expired'").cast("int").alias("expired"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "skipped", F.col("outcome").cast("long"))), F.lit(0)).alias("skipped"),
+        count("kind NOT IN ('expired', 'skipped')").alias("applied"))

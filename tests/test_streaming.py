@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from carelake.streaming import session_state
 
@@ -80,3 +81,63 @@ def test_event_time_timer_frees_silent_sessions(spark, tmp_path):
     rows = outcomes(spark, tmp_path, [early, late, [event(8, 1, 20_001)]], event_time=True)
     assert (7, "expired") in {(r.session_id, r.kind) for r in rows}
     assert {(r.session_id, r.seq) for r in rows if r.kind == "message"} == {(7, 0), (8, 0), (8, 1)}
+
+
+def test_an_older_event_never_moves_the_end_back(spark, tmp_path):
+    """Behind the watermark of the first run the older event still counts; the session ends by its newest one."""
+    parts = [[event(7, 1, 5000), event(8, 0, 8000)], [event(7, 0, 4500)], [event(8, 1, 12_100)], [event(8, 2, 12_300)]]
+    rows = outcomes(spark, tmp_path, parts[:3], event_time=True)
+    assert (7, "expired") not in {(r.session_id, r.kind) for r in rows}  # 8100 and 8500 < 5000 + 3600: not by either
+    assert {(r.session_id, r.seq) for r in rows if r.kind == "message"} == {(7, 0), (7, 1), (8, 0), (8, 1)}
+    progress, landing, out = (str(tmp_path / n) for n in ("progress", "in", "out"))
+    spark.createDataFrame(parts[3], session_state.EVENT_SCHEMA).write.mode("append").parquet(landing)
+    session_state.run(spark, landing, out, progress, partitions=2, event_time=True)
+    assert [r.kind for r in spark.read.parquet(out).collect() if r.session_id == 7].count("expired") == 1
+
+
+def test_a_missing_event_is_passed_over_by_event_time(spark, tmp_path):
+    parts = [[event(7, 0, 0), event(7, 2, 20), event(7, 3, 30), event(7, 6, 60)], [event(8, 0, 3000)], [event(8, 1, 4000)],
+             [event(7, 1, 3900), event(8, 2, 4100)]]
+    rows = outcomes(spark, tmp_path, parts, event_time=True, patience_seconds=60)
+    own = [r for r in rows if r.session_id == 7]
+    assert sorted((r.seq, r.kind, r.outcome) for r in own) == [
+        (0, "message", "initial"), (1, "message", "repeated"), (1, "skipped", "1"), (2, "message", "collecting"),
+        (3, "message", "inferring"), (4, "skipped", "2"), (6, "message", "inferring")]
+
+
+def test_by_processing_time_state_is_freed(spark, tmp_path):
+    import time
+    rows = outcomes(spark, tmp_path, [[event(7, 0, 0), event(7, 2, 20)]], ttl_seconds=4, patience_seconds=2)
+    assert {(r.seq, r.kind) for r in rows} == {(0, "message")}  # the third waits for the second
+    time.sleep(2)
+    rows = outcomes(spark, tmp_path, [[event(8, 0, 0)]], ttl_seconds=4, patience_seconds=2)
+    time.sleep(5)
+    rows = outcomes(spark, tmp_path, [[event(8, 1, 1)]], ttl_seconds=4, patience_seconds=2)
+    kinds = [(r.session_id, r.seq, r.kind) for r in rows]
+    assert (7, 1, "skipped") in kinds and (7, 2, "message") in kinds and (7, -1, "expired") in kinds
+    state = session_state.state_session(spark)
+    for name in ("history", "counts", "context", "early"):
+        held = session_state._state(state, str(tmp_path / "progress"), name).select("key.session_id").collect()
+        assert 7 not in {r.session_id for r in held}, name
+
+
+def test_after_its_memory_nothing_of_a_session_is_left(spark, tmp_path):
+    day = 24 * 3600
+    outcomes(spark, tmp_path, [[event(7, 0, 0)], [event(8, 0, 10_000)], [event(8, 1, 20_000 + day)], [event(8, 2, 40_000 + day)]],
+             event_time=True)
+    state = session_state.state_session(spark)
+    for name in ("turn", "due", "history", "counts"):
+        held = session_state._state(state, str(tmp_path / "progress"), name).select("key.session_id").collect()
+        assert {r.session_id for r in held} <= {8}, name
+
+
+def test_history_and_context_come_from_state(spark, tmp_path):
+    outcomes(spark, tmp_path, [[e for e in EVENTS if e[1] < 3], [e for e in EVENTS if e[1] >= 3]])
+    progress = str(tmp_path / "progress")
+    at = F.lit(str(BASE + dt.timedelta(seconds=3500))).cast("timestamp")
+    got = session_state.history(spark, progress, at).collect()
+    assert sorted((r.session_id, r.seq) for r in got) == [(1, 5), (2, 3), (2, 4), (2, 5), (2, 6), (3, 3)]
+    facts = {(r.session_id, r.key): r.value for r in session_state.context(spark, progress, at).collect()}
+    assert facts == {(2, "a"): "2", (2, "b"): "1", (2, "age"): "40"}
+    late = F.lit(str(BASE + dt.timedelta(days=1))).cast("timestamp")
+    assert session_state.history(spark, progress, late).count() == 0
