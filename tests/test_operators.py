@@ -96,6 +96,17 @@ def test_redirects_equal_walk(spark, edges):
     assert {r.src: r.canonical for r in got} == {s: walk(edges, s) for s in edges}
 
 
+@pytest.mark.parametrize(("seed", "local_rows"), [(1, 1), (2, 25)])
+def test_redirects_contracted_in_rounds_equal_walk(spark, seed, local_rows):
+    rng = np.random.default_rng(seed)
+    edges = {i: i + 1 for i in range(30)}  # one long chain
+    edges |= {200 + i: 200 + (i + 1) % 11 for i in range(11)} | {300: 300, 301: 302, 302: 301}  # cycles
+    edges |= {400 + i: int(rng.choice([5, 20, 205, 210, 300, 302, 999, 400 + i + 1])) for i in range(20)}
+    got = redirects.resolve_chains(spark.createDataFrame(list(edges.items()), "src int, tgt int").coalesce(2), local_rows).collect()
+    assert {r.src: (r.tgt, r.canonical) for r in got} == {s: (t, walk(edges, s)) for s, t in edges.items()}
+    assert {r.src for r in got if r.on_cycle} == set(range(200, 211)) | {300, 301, 302}
+
+
 def test_redirect_shapes(spark):
     edges = {"a": "b", "b": "c", "c": "end", "self": "self", "x": "y", "y": "x", "tail": "x", "t2": "tail", "gone": "missing"}
     got = redirects.resolve_chains(spark.createDataFrame(list(edges.items()), "src string, tgt string")).collect()
