@@ -9,10 +9,14 @@ from carelake.functions.markup import (
     SYMPTOM_TITLES, categories, clean_markup, is_disease_page, pick_section, redirect_target, sections,
 )
 from carelake.operators.layout import with_once
+from carelake.operators.numbering import numbered_chunks
 from carelake.operators.redirects import resolve_chains
 from carelake.operators.upsert import newest
 from carelake.session import cut_lineage
 
+#: Aliases in one stored row.
+CHUNK = 10_000
+
 
 def redirect_edges(dump: DataFrame) -> DataFrame:
     """``src, tgt``: the last redirect line of a title counts."""
@@ -40,9 +44,20 @@ def alias_rows(resolved: DataFrame) -> DataFrame:
     return resolved.select(end.alias("canonical_title"), F.col("src").alias("alias"))
 
 
-def alias_sets(rows: DataFrame) -> DataFrame:
-    """``canonical_title, aliases``: one sorted array per title. ``alias_rows`` is the form without a limit of a row."""
-    return rows.groupBy("canonical_title").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
+def alias_chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``canonical_title, chunk, aliases``: the stored form, at most ``size`` different aliases a row, sorted and numbered on.
+
+    Aliases are numbered over range partitions, so a title with any number of
+    them spans as many tasks and rows as it needs and is never in one place.
+    """
+    return numbered_chunks(rows.distinct(), size, ["alias"], ["canonical_title"]).groupBy("canonical_title", "chunk").agg(
+        F.sort_array(F.collect_list("alias")).alias("aliases"))
+
+
+def alias_sets(chunks: DataFrame) -> DataFrame:
+    """``canonical_title, aliases``: one sorted array per title, for titles whose aliases fit one row; of ``alias_chunks``."""
+    return chunks.groupBy("canonical_title").agg(F.flatten(F.transform(F.sort_array(
+        F.collect_list(F.struct("chunk", "aliases"))), lambda c: c["aliases"])).alias("aliases"))
 
 
 def disease_titles(dump: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,19 +74,23 @@ def disease_titles(dump: DataFrame) -> tuple[DataFrame, DataFrame]:
     return titles, aliases
 
 
-def disease_master(dump: DataFrame, provider: str, snapshot: str | None) -> DataFrame:
-    """One row per canonical title: common name, aliases and their count, symptoms, sources.
+def disease_master(dump: DataFrame, provider: str, snapshot: str | None) -> tuple[DataFrame, DataFrame]:
+    """``(master, chunks)``: one row per canonical title, and its aliases in chunks beside it.
 
-    The common name is the first alias in order.
+    A title has a common name, which is the first alias in order, the number of
+    its aliases and of their chunks, its symptoms and its sources.
     """
     titles, aliases = disease_titles(dump)
-    named = alias_sets(aliases)
-    none = F.array().cast("array<string>")
+    chunks = cut_lineage(alias_chunks(aliases))
+    named = chunks.groupBy("canonical_title").agg(
+        F.min(F.when(F.col("chunk") == 0, F.get("aliases", F.lit(0)))).alias("common_name"),
+        F.sum(F.size("aliases")).alias("alias_count"), F.count(F.lit(1)).alias("alias_chunks"))
+    none = F.lit(0).cast("long")
     return titles.join(named, "canonical_title", "left").select(
-        "canonical_title", F.get("aliases", F.lit(0)).alias("common_name"), F.coalesce("aliases", none).alias("aliases"),
-        F.size(F.coalesce("aliases", none)).cast("long").alias("alias_count"),
+        "canonical_title", "common_name", F.coalesce("alias_count", none).alias("alias_count"),
+        F.coalesce("alias_chunks", none).alias("alias_chunks"),
         F.coalesce("symptom_text", F.lit("")).alias("symptom_text"), "source_titles_count",
-        F.lit(provider).alias("source_provider"), F.lit(snapshot).alias("source_snapshot"))
+        F.lit(provider).alias("source_provider"), F.lit(snapshot).alias("source_snapshot")), chunks
 
 
 def title_keys(*parts: DataFrame) -> DataFrame:

@@ -335,7 +335,7 @@ def logged_recommendations(spark, sf):
     places, asked = standin(spark, sf, "facilities"), requests(spark, sf).withColumn("accuracy", F.col("request_id") % 50)
     answers = recommendation.recommend(asked, profiles(spark, sf), catalogue(spark, sf), *_rules(spark, sf), places, places)
     path = scratch_path(spark, "answer-log")
-    append_log(recommendation.answer_log(asked, answers, F.lit("2024-01-01 00:00:00").cast("timestamp")), path)
+    append_log(recommendation.answer_log(asked, answers, F.lit("2024-01-01 00:00:00").cast("timestamp")), path, "answers-1")
 
     def listed(column):
         return F.coalesce(F.json_array_length(column), F.lit(0)).alias(column.removeprefix("nearby_"))

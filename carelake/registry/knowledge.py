@@ -124,7 +124,7 @@ SELECT canonical_title, string_agg(alias, '|' ORDER BY alias) AS aliases FROM al
 def alias_sets(spark, sf):
     """Aliases of every end title."""
     edges = resolve_chains(disease.redirect_edges(wiki_dump(spark, sf)))
-    sets = disease.alias_sets(disease.alias_rows(edges))
+    sets = disease.alias_sets(disease.alias_chunks(disease.alias_rows(edges), 3))
     return sets.select("canonical_title", F.array_join("aliases", "|").alias("aliases"))
 
 
@@ -136,8 +136,18 @@ FROM d LEFT JOIN (SELECT canonical_title, min(alias) AS common_name, count(*) AS
                   FROM aliases GROUP BY 1) USING (canonical_title)""".replace(
     "SELECT canonical_title, common_name", "SELECT d.canonical_title, common_name"))
 def disease_master(spark, sf):
-    found = disease.disease_master(wiki_dump(spark, sf), "wiki", "20240115")
-    return found.withColumn("aliases", F.array_join("aliases", "|"))
+    found, chunks = disease.disease_master(wiki_dump(spark, sf), "wiki", "20240115")
+    shown = disease.alias_sets(chunks).select("canonical_title", F.array_join("aliases", "|").alias("aliases"))
+    return found.drop("alias_chunks").join(shown, "canonical_title", "left").fillna("", "aliases")
+
+
+@query("alias_chunks", _ALIASES + """,
+n AS (SELECT canonical_title, alias, row_number() OVER (PARTITION BY canonical_title ORDER BY alias) - 1 AS i FROM aliases)
+SELECT canonical_title, i // 2 AS chunk, string_agg(alias, '|' ORDER BY alias) AS aliases FROM n GROUP BY ALL""")
+def alias_chunks(spark, sf):
+    """Aliases of every end title as they are stored, two a row."""
+    edges = resolve_chains(disease.redirect_edges(wiki_dump(spark, sf)))
+    return disease.alias_chunks(disease.alias_rows(edges), 2).withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @query("title_keys", f"""

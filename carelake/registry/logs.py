@@ -9,7 +9,7 @@ from carelake.plans import recommendation
 from carelake.registry import query
 from carelake.registry.standins import standin, table, with_sql
 from carelake.session import scratch_path
-from carelake.sources.snapshots import append_log
+from carelake.sources.snapshots import append_log, read_log
 
 AS_OF = "2024-01-30 00:00:00"
 
@@ -113,7 +113,19 @@ def diagnosis_log(spark, sf):
         F.when(F.col("o_orderstatus") != "P", F.struct(F.lit(0.0).alias("latitude"), F.lit(127.5).alias("longitude")))
         .alias("location"))
     path = scratch_path(spark, "log")
-    append_log(recommendation.diagnosis_log(diagnoses, F.col("o_orderdate")), path, unit="month")
+    append_log(recommendation.diagnosis_log(diagnoses, F.col("o_orderdate")), path, "orders-1", unit="month")
     return spark.read.parquet(path).select(
         "log_id", "symptom_text", "predicted_disease", "recommendation", "drug_suggested", "item_seq",
         "recommended_drugs", "nearby_hospitals", "latitude", F.col("log_date").cast("string").alias("log_date"))
+
+
+@query("log_written_twice", with_sql("logs") + """
+SELECT log_id, predicted_disease, recommendation, severity_score, strftime(created_at, '%Y-%m-%d') AS log_date,
+  CASE WHEN log_id % 3 = 0 THEN 'night' ELSE 'day' END AS batch FROM logs""")
+def log_written_twice(spark, sf):
+    """Two batches of log rows of which each job runs twice, as after a lost driver."""
+    rows, path = standin(spark, sf, "logs"), scratch_path(spark, "twice")
+    for batch, part in (("day", "log_id % 3 <> 0"), ("night", "log_id % 3 = 0"), ("day", "log_id % 3 <> 0"), ("night", "log_id % 3 = 0")):
+        append_log(rows.where(part), path, batch)
+    return read_log(spark, path).select(
+        "log_id", "predicted_disease", "recommendation", "severity_score", F.col("log_date").cast("string").alias("log_date"), "batch")

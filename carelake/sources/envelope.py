@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from carelake.functions.text import camel_key
 from carelake.operators.layout import with_once
-from carelake.session import cut_lineage
+from carelake.session import cut_lineage, staged
 
 # Markers of an error page.
 ERROR_TAG = "<OpenAPI_ServiceResponse>"
@@ -177,7 +177,12 @@ def completeness(normalised: DataFrame, max_pages: int = 0) -> DataFrame:
 
 
 def taken_pages(normalised: DataFrame, max_pages: int = 0) -> DataFrame:
-    """The pages that count."""
-    plan = page_plan(ledger(normalised), max_pages).select("source", "last_page")
-    return normalised.join(plan, "source").where(
+    """The pages that count, without their payload.
+
+    The parsed pages are written once: the ledger, which reads a few numbers of
+    each, and the rows both come from there, so no payload is parsed again.
+    """
+    parsed = staged(normalised.drop("payload"), "parsed-pages")
+    plan = page_plan(ledger(parsed), max_pages).select("source", "last_page")
+    return parsed.join(plan, "source").where(
         F.col("page_no").between(1, F.col("last_page"))).drop("last_page")

@@ -7,6 +7,8 @@ leaves the previous snapshot readable and can simply run again.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,14 +39,30 @@ def latest_version(spark: SparkSession, base: str) -> int | None:
     return max(versions, default=None)
 
 
-def append_log(rows: DataFrame, path: str, at: str = "created_at", unit: str = "day") -> None:
-    """Append log rows, one folder per day (or month, or year).
+def append_log(rows: DataFrame, path: str, batch: str, at: str = "created_at", unit: str = "day") -> None:
+    """Append the log rows of one batch, one folder per day (or month, or year).
 
+    A batch has a folder of its own, named by ``batch``: a job that runs again
+    after a lost driver writes the same folder again, so no row is there twice.
     Rebalancing gathers a period into few files, and splits a period that
     holds most of the rows over many tasks.
     """
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
+        raise ValueError(f"no name of a batch: {batch!r}")
     dated = rows.withColumn("log_date", F.to_date(F.date_trunc(unit, at)))
-    dated.hint("rebalance", "log_date").write.mode("append").partitionBy("log_date").parquet(path)
+    dated.hint("rebalance", "log_date").write.mode("overwrite").partitionBy("log_date").parquet(
+        f"{path.rstrip('/')}/batch={batch}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all finished batches, with ``batch`` and ``log_date``; a batch that is being written is not among them."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    done = sorted(s.getPath().getParent().toString() for s in (found or []))
+    if not done:
+        raise ValueError(f"no finished batch at {path}")
+    return spark.read.option("basePath", path).parquet(*done)
 
 
 def scan(spark: SparkSession, path: str, query: str, columns: list[str] | None = None, **args) -> DataFrame:

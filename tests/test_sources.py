@@ -118,11 +118,20 @@ def test_snapshots_refresh_whole(spark, tmp_path):
 
 
 def test_append_log(spark, tmp_path):
+    path = str(tmp_path / "l")
     rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 2))], "log_id int, created_at timestamp")
-    snapshots.append_log(rows, str(tmp_path / "l"))
-    snapshots.append_log(rows, str(tmp_path / "l"))
-    got = snapshots.scan(spark, str(tmp_path / "l"), "SELECT log_id FROM {rows} WHERE log_date = :day", day="2024-01-02")
+    with pytest.raises(ValueError):
+        snapshots.read_log(spark, path)
+    for batch in ("a", "b", "a"):  # the first job runs once more
+        snapshots.append_log(rows, path, batch)
+    got = snapshots.scan(spark, path, "SELECT log_id FROM {rows} WHERE log_date = :day", day="2024-01-02")
     assert [r.log_id for r in got.collect()] == [2, 2]
+    assert sorted((r.batch, r.log_id) for r in snapshots.read_log(spark, path).collect()) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+    snapshots.append_log(rows, path, "lost")
+    (tmp_path / "l" / "batch=lost" / "_SUCCESS").unlink()
+    assert snapshots.read_log(spark, path).where("batch = 'lost'").count() == 0
+    with pytest.raises(ValueError):
+        snapshots.append_log(rows, path, "../elsewhere")
 
 
 DUMP = [
@@ -134,7 +143,7 @@ DUMP = [
 
 def test_disease_master(spark):
     dump = spark.createDataFrame([(t, x, i) for i, (t, x) in enumerate(DUMP)], "title string, text string, ordinal int")
-    got = {r.canonical_title: r for r in disease.disease_master(dump, "wiki", "20240101").collect()}
+    got = {r.canonical_title: r for r in disease.disease_master(dump, "wiki", "20240101")[0].collect()}
     assert set(got) == {"감기", "위염", "독감"}
     assert (got["감기"].common_name, got["감기"].alias_count, got["감기"].symptom_text) == ("고뿔", 2, "콧물 발열")
     assert got["위염"].symptom_text == "" and got["독감"].common_name is None
@@ -143,10 +152,30 @@ def test_disease_master(spark):
 def test_alias_sets_are_one_row_each(spark):
     rows = spark.range(1000).selectExpr("'hot' AS canonical_title", "CAST(id AS STRING) AS alias").union(
         spark.sql("SELECT 'small', 'b'")).union(spark.sql("SELECT 'small', 'a'"))
-    got = {r.canonical_title: r.aliases for r in disease.alias_sets(rows).collect()}
+    got = {r.canonical_title: r.aliases for r in disease.alias_sets(disease.alias_chunks(rows, 64)).collect()}
     assert got == {"hot": sorted(str(i) for i in range(1000)), "small": ["a", "b"]}
 
 
+def test_a_title_with_very_many_aliases_spans_rows(spark):
+    many = 300_000
+    rows = spark.range(many).selectExpr("'hot' AS canonical_title", "format_string('%08d', id) AS alias").union(
+        spark.sql("SELECT 'hot', '00000007'")).union(spark.sql("SELECT 'small', 'a'"))
+    stored = disease.alias_chunks(rows, 1000)
+    got = stored.selectExpr("canonical_title", "chunk", "size(aliases) AS n", "aliases[0] AS first").collect()
+    hot = sorted((r.chunk, r.n, r.first) for r in got if r.canonical_title == "hot")
+    assert hot == [(i, 1000, f"{i * 1000:08d}") for i in range(many // 1000)]
+    assert [(r.chunk, r.n, r.first) for r in got if r.canonical_title == "small"] == [(0, 1, "a")]
+
+
+def test_payloads_are_parsed_once(spark):
+    pages = spark.createDataFrame([("s", 1, 2, '{"header": {"ok": 1}, "body": {"items": [{"a": 1}, {"a": 2}], "totalCount": 2}}')],
+                                  "source string, page_no long, batch_size long, payload string")
+    taken = envelope.taken_pages(envelope.normalise(pages))
+    rows = envelope.item_rows(taken)
+    assert "parse_json" not in rows._jdf.queryExecution().optimizedPlan().toString()  # what is parsed has been written
+    assert rows.select(F.try_variant_get("item", "$.a", "int").alias("a")).collect() == [(1,), (2,)]
+
+
 def test_scan_is_pushed_down(spark, tmp_path):
     spark.range(10).selectExpr("id", "id AS other", "id AS third").write.parquet(str(tmp_path / "p"))
     plan = snapshots.scan(spark, str(tmp_path / "p"), "SELECT id FROM {rows} WHERE other > :n", ["id", "other"], n=5)
