@@ -28,14 +28,22 @@ def typed_rows(normalised: DataFrame, table: str, unwrap: bool = False,
     stamps = ("created_at", "updated_at")
     names = [c for c in schemas.column_names(table) if c not in stamps]
     types = {f.name: f.dataType.simpleString() for f in schemas.schema(table)}
-    pages = envelope.taken_pages(normalised) if stop_rule else normalised
-    rows = envelope.item_rows(pages, unwrap)
-    landed = ["landed"] if "landed" in rows.columns else []
-    raw = envelope.fields(rows, names, [*landed, "page_no", "item_no"])
+    rows = envelope.item_rows(normalised, unwrap, pages=True)
+    place = [*(["landed"] if "landed" in rows.columns else []), "page_no", "item_no"]
+    page = [f"_{c}" for c in ("source", *envelope.PAGE)]
+    raw = envelope.fields(rows, names, [*place, *[F.col(c[1:]).alias(c) for c in page]])
     content = ", ".join(f"`{c}`" for c in names)
-    return raw.selectExpr(*[f"try_cast(`{c}` AS {types[c]}) AS `{c}`" for c in names],
-                          f"struct({', '.join([*landed, 'page_no', 'item_no'])}, xxhash64({content}) AS content) AS {ORDINAL}",
-                          f"{checks.failed_checks(table, {c: types[c] for c in names})} AS {FAILED}")
+    typed = [f"try_cast(`{c}` AS {types[c]}) AS `{c}`" for c in names]
+    # Written once, with what their pages say: the stop rule and the rows both come from here.
+    made = staged(raw.selectExpr(
+        *typed, f"struct({', '.join(place)}, xxhash64({content}) AS content) AS {ORDINAL}",
+        f"{checks.failed_checks(table, {c: types[c] for c in names})} AS {FAILED}", *page), f"typed-{table}")
+    found = made.where(f"{ORDINAL}.item_no IS NOT NULL")
+    if stop_rule:
+        pages = made.select(*[F.col(c).alias(c[1:]) for c in page], *[f"{ORDINAL}.{c}" for c in place])
+        plan = envelope.page_plan(envelope.ledger(envelope.first_rows(pages))).select(F.col("source").alias("_source"), "last_page")
+        found = found.join(plan, "_source").where(F.col(f"{ORDINAL}.page_no").between(1, F.col("last_page")))
+    return found.select(*names, ORDINAL, FAILED)
 
 
 def readable(rows: DataFrame) -> DataFrame:
@@ -62,7 +70,7 @@ def collect(existing: DataFrame, normalised: DataFrame, table: str, as_of: Colum
     in one full outer join; ``collect_into`` brings only the buckets of a stored
     table that the batch touches.
     """
-    rows, keys = staged(incoming_rows(normalised, table, unwrap, stop_rule), f"incoming-{table}"), schemas.KEYS[table]
+    rows, keys = incoming_rows(normalised, table, unwrap, stop_rule), schemas.KEYS[table]
     if table in schemas.COMPARED:
         return compare_and_upsert(existing, rows, keys, schemas.COMPARED[table], ORDINAL, as_of, force)
     return upsert(existing, rows, keys, ORDINAL, as_of)
@@ -71,7 +79,7 @@ def collect(existing: DataFrame, normalised: DataFrame, table: str, as_of: Colum
 def collect_into(spark: SparkSession, base: str, normalised: DataFrame, table: str, as_of: Column, cycle: str,
                  force: bool = False, unwrap: bool = False, stop_rule: bool = True) -> list[int]:
     """The same into the keyed table at ``base``; gives the buckets that were rewritten."""
-    rows = staged(incoming_rows(normalised, table, unwrap, stop_rule), f"incoming-{table}")
+    rows = incoming_rows(normalised, table, unwrap, stop_rule)
     return keyed.merge(spark, base, rows, schemas.KEYS[table], schemas.COMPARED.get(table, []), ORDINAL, as_of, cycle,
                        force or table not in schemas.COMPARED)
 
@@ -79,7 +87,7 @@ def collect_into(spark: SparkSession, base: str, normalised: DataFrame, table: s
 def collection_counts(existing: DataFrame, normalised: DataFrame, table: str,
                       force: bool = False, unwrap: bool = False) -> DataFrame:
     """Counts by outcome; rows that fail a check are errors, as those without a key are."""
-    rows = staged(typed_rows(normalised, table, unwrap), f"counted-{table}")
+    rows = typed_rows(normalised, table, unwrap)
     counts = save_counts(existing, readable(rows), schemas.KEYS[table], schemas.COMPARED.get(table, []), ORDINAL,
                          force or table not in schemas.COMPARED)
     broken = F.count(F.when(F.size(FAILED) > 0, 1))

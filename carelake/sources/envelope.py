@@ -103,14 +103,27 @@ def quarantine(normalised: DataFrame) -> DataFrame:
     return normalised.where(F.col("error").isNotNull()).select("source", "page_no", "shape", "error")
 
 
-def item_rows(normalised: DataFrame, unwrap: bool = False) -> DataFrame:
-    """One row per item, with its place; ``unwrap`` opens one more ``item`` level."""
+#: What the stop rule needs to know of a page.
+PAGE = ("batch_size", "item_count", "total_count", "error")
+
+
+def item_rows(normalised: DataFrame, unwrap: bool = False, pages: bool = False) -> DataFrame:
+    """One row per item, with its place; ``unwrap`` opens one more ``item`` level.
+
+    With ``pages`` each row also tells of its page, and a page without items
+    has one row whose ``item_no`` is null.
+    """
     landed = ["landed"] if "landed" in normalised.columns else []
-    rows = normalised.select(  # an unreadable page has no items
-        "source", "page_no", *landed, F.posexplode("items").alias("item_no", "item"))
+    items = (F.posexplode_outer if pages else F.posexplode)("items").alias("item_no", "item")
+    rows = normalised.select("source", "page_no", *landed, *(PAGE if pages else ()), items)  # an unreadable page has no items
     return rows.withColumn("item", _at(F.col("item"), "$.item")) if unwrap else rows
 
 
+def first_rows(rows: DataFrame) -> DataFrame:
+    """One row per landed page, of rows that tell of their pages: what ``ledger`` reads."""
+    return rows.where(F.coalesce(F.col("item_no"), F.lit(0)) == 0)
+
+
 def fields(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
     """Named fields of each item, spelled ``someName`` or ``SOME_NAME``; first non-empty wins.
 
