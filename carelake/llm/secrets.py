@@ -61,9 +61,10 @@ def base_spans(text: str, longest: int | None = None) -> list[tuple[int, str, in
 
 
 def _shape(core: str) -> str:
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in core[:64]]
-    turns = "".join(c for i, c in enumerate(kinds) if i == 0 or kinds[i - 1] != c)
-    return turns if len(turns) <= 4 else "many " + "".join(sorted(set(turns)))
+    """The turns between kinds of characters, over the whole token; many turns are told by what takes part in them."""
+    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in core]
+    turns = [c for i, c in enumerate(kinds) if i == 0 or kinds[i - 1] != c]
+    return "".join(turns) if len(turns) <= 4 else "many " + "".join(sorted(set(turns)))
 
 
 def features(token: str, words: frozenset | set) -> tuple[str, ...]:

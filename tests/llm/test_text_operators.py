@@ -546,3 +546,10 @@ def test_toxicity_held_out(spark):
     nothing = toxicity.train(docs, labels.where("toxic = 0"))
     assert toxicity.severity(docs, nothing).where("grade > 0").count() == 0
     assert toxicity.severity(docs_of(spark, []), model).collect() == []
+
+
+def test_the_shape_of_a_token_is_that_of_the_whole():
+    assert secrets._shape("a" * 500 + "=" + "X9" * 3) == "many " + "".join(sorted("a=X9".replace("X", "A").replace("9", "0")))
+    assert secrets._shape("a" * 90 + "0") == "a0" and secrets._shape("a" * 90) == "a"
+    token = "x" * 200_000 + '":"' + "7" * 100_000
+    assert secrets.features(token, frozenset()) == secrets.features(token, frozenset())
