@@ -552,4 +552,5 @@ def test_the_shape_of_a_token_is_that_of_the_whole():
     assert secrets._shape("a" * 500 + "=" + "X9" * 3) == "many " + "".join(sorted("a=X9".replace("X", "A").replace("9", "0")))
     assert secrets._shape("a" * 90 + "0") == "a0" and secrets._shape("a" * 90) == "a"
     token = "x" * 200_000 + '":"' + "7" * 100_000
-    assert secrets.features(token, frozenset()) == secrets.features(token, frozenset())
+    shape = next(f for f in secrets.features(token, frozenset()) if f.startswith("shape"))
+    assert set(shape.removeprefix("shape many ")) == set('a":0')  # the digits stand far behind
