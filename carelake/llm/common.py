@@ -64,3 +64,9 @@ def staged_at(df: DataFrame, label: str) -> str:
 def lower_ascii(text):
     """A-Z to lower case, nothing else; a null text is an empty one."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
+def refuse_names(df: DataFrame, *names: str) -> None:
+    """Raise where ``df`` has a column that an operator needs the name of."""
+    if taken := sorted(set(names) & {c.lower() for c in df.columns}):
+        raise ValueError(f"these column names are taken: {taken}")

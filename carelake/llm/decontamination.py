@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carelake.llm.common import map_text, utf8, words_of
-from carelake.session import staged
+from carelake.session import scratch_path, staged
 
 #: Words of one index block; a longer document has a block of its own.
 BLOCK_WORDS = 1 << 15
@@ -231,17 +231,17 @@ def search(index: DataFrame, wins: DataFrame, slop: int = 0, block_windows: int
     matches: every term lies at most ``slop`` words beside its place, seen
     from the window's rarest term. ``start`` and ``stop`` are words of the
     document, the latter past the last. Windows go in blocks of about
-    ``block_windows``, each one pass over the index.
+    ``block_windows``, each one pass over the index, whose matches are written
+    before the next is collected: driver and tasks hold one block at a time.
     """
     ordered = staged(_rarest_first(wins, _frequencies(index)), "windows")
     blocks = max(1, -(-ordered.count() // block_windows))
     columns = index.select("block", "lengths", "terms", "ends", "places")
-    found = None
+    path, schema = scratch_path(index.sparkSession, "matches"), "block long, doc_no int, win long, start long, stop long"
     for b in range(blocks):
         rows = ordered.where(F.pmod("win", F.lit(blocks)) == b).collect()
-        one = columns.mapInArrow(_lookup(_Windows(rows), slop), "block long, doc_no int, win long, start long, stop long")
-        found = one if found is None else found.unionByName(one)
-    return found
+        columns.mapInArrow(_lookup(_Windows(rows), slop), schema).write.mode("append").parquet(path)
+    return index.sparkSession.read.schema(schema).parquet(path)
 
 
 def covered(spans: Column) -> Column:
@@ -263,7 +263,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     """
     wins = staged(windows(items, size), "test-windows")
     index = build_index(docs, wins)
-    found = staged(search(index, wins), "matches")
+    found = search(index, wins)
     hits = found.groupBy("block", "doc_no").agg(covered(F.collect_list(F.struct("start", "stop"))).alias("n_hit"))
     named = found.select("block", "doc_no", "win").distinct().join(wins.select("win", "item_id"), "win").groupBy(
         "block", "doc_no").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"),

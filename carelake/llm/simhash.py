@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelake.llm.common import map_text, utf8
+from carelake.llm.common import map_text, refuse_names, utf8
 from carelake.llm.components import components
 from carelake.session import staged
 
@@ -139,9 +139,10 @@ def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id are versions of one document: it stays if any of
     them is the first of its group, as the version with the smallest text.
-    Rows without a doc_id cannot be named and all stay. A column named
-    ``__rows`` is refused.
+    Rows without a doc_id cannot be named and all stay. Columns named
+    ``__rows`` or ``__first`` are refused.
     """
+    refuse_names(docs, "__rows", "__first")
     kept = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("__rows"), F.bool_or(F.col("component_id") == F.col("doc_id")).alias("__first"))
     found = docs.join(kept.where("__first").drop("__first"), "doc_id")

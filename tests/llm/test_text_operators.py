@@ -554,3 +554,21 @@ def test_the_shape_of_a_token_is_that_of_the_whole():
     token = "x" * 200_000 + '":"' + "7" * 100_000
     shape = next(f for f in secrets.features(token, frozenset()) if f.startswith("shape"))
     assert set(shape.removeprefix("shape many ")) == set('a":0')  # the digits stand far behind
+
+
+@pytest.mark.parametrize(("name", "stage"), [
+    ("__rows", simhash.keep_one), ("__first", simhash.keep_one), ("__ID", linededup.without_repeated_lines),
+    ("__lines", linededup.without_repeated_lines), ("__key", linededup.without_repeated_lines)])
+def test_clashing_names_are_refused(spark, name, stage):
+    docs = docs_of(spark, ["some text", "other text"]).withColumn(name, F.lit(1))
+    with pytest.raises(ValueError, match="taken"):
+        stage(docs)
+
+
+def test_blocks_of_windows_are_written_one_by_one(spark):
+    texts = [" ".join(f"w{i}" for i in range(n, n + 30)) for n in range(0, 200, 10)]
+    docs, items = docs_of(spark, texts), spark.createDataFrame([(1, texts[3]), (2, texts[9])], "item_id long, text string")
+    wins = decontamination.windows(items, 10)
+    index = decontamination.build_index(docs, wins)
+    whole, cut = (sorted(tuple(r) for r in decontamination.search(index, wins, 0, n).collect()) for n in (1 << 17, 5))
+    assert whole == cut and len(whole) > 60
