@@ -90,6 +90,7 @@ _SEVERITY = """CASE o_orderstatus WHEN 'F' THEN '```json' || chr(10) || '{"sever
  ELSE CASE WHEN o_orderpriority = '5-LOW' THEN '{"severity_score": 7}' ELSE 'sorry' END END"""
 
 
+# Fixed value: the wording of the default reason.
 @query("severity_decisions", """
 WITH s AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 4 ELSE 1 + o_orderkey % 10 END AS severity_score FROM orders)
 SELECT o_orderkey, severity_score, CASE o_orderstatus WHEN 'F' THEN 'HOSPITAL' ELSE 'PHARMACY' END AS recommendation,

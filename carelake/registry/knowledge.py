@@ -26,6 +26,7 @@ _BLANKS = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) ||
 
 def _sql_clean(expression: str) -> str:
     """The cleaning steps in the other engine's pattern dialect."""
+    # The patterns, in their order.
     steps = [(r"<ref[^>]*>.*?</ref>", "", "gsi"), (r"\{\{\{.*?\}\}\}", "", "gs"), (r"\{\{.*?\}\}", "", "gs"),
              (r"\[\[([^|\]]+)\|([^\]]+)\]\]", r"\2", "g"), (r"\[\[([^\]]+)\]\]", r"\1", "g"),
              (r"\[(?:https?|ftp)://[^\s\]]+\s+([^\]]+)\]", r"\1", "g"),
