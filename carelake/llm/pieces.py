@@ -6,7 +6,9 @@ only up to the last boundary that is settled: as soon as the best paths to all
 places of the window run through one boundary, no later character can change
 what lies before it, and its ids go out. Where no piece of the vocabulary has
 the two characters around a place side by side, every path has a boundary
-there; between such places a segment is worked out once and remembered.
+there; between such places a segment is worked out once and remembered. The
+new segments of a batch that fit one window take the steps of the search
+together, a column of characters at a time.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments a task remembers at once.
 REMEMBERED = 1 << 19
+#: Segments searched side by side.
+TOGETHER = 1 << 14
+#: Characters whose ways to go on are remembered together, and how many such are.
+HEAD, HEADS = 4, 1 << 17
 _NEVER = float("-inf")
 _UNKNOWN_PENALTY = 10.0  # below the lowest score, as the model's own library has it
 
@@ -60,6 +66,14 @@ class Encoder:
         marked = any(SPACE in p.lstrip(SPACE) for p in self.pieces)
         self.segments = re.compile(".+" if marked else f"{SPACE}+[^{SPACE}]*", re.S).findall
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, tuple[list, int, bool]] = {}
+        # The tree of all beginnings: (node, character) -> node, and each node's score and id.
+        node = {p: i for i, p in enumerate(sorted(self.begins), 1)}
+        steps = sorted(((node.get(p[:-1], 0) << 21 | ord(p[-1]), i) for p, i in node.items()))
+        self.step, self.to = (np.array([x[i] for x in steps] + [(1 << 62, 0)[i]], np.int64) for i in (0, 1))
+        values = [(-1, _NEVER), *[self.begins[p] for p in node]]
+        self.node_id = np.array([i for i, _ in values], np.int32)
+        self.node_score = np.array([v if i >= 0 else _NEVER for i, v in values])
         self.remembered = remembered
 
     def encode(self, text: str) -> array:
@@ -82,6 +96,58 @@ class Encoder:
                 ids.frombytes(found)
         return ids
 
+    def learn(self, texts: list[str]) -> None:
+        """Work out the segments of these texts that are not known yet, many at once."""
+        seen: set[str] = set()
+        for text in texts:
+            for n, part in enumerate(text.split(SPACE) if text else ()):
+                seen.update(self._segments_of(part, not n))
+        if len(self.known) + len(seen) > self.remembered:
+            self.known.clear()
+        fresh = sorted((s for s in seen.difference(self.known) if 0 < len(s) <= self.longest), key=len, reverse=True)
+        for i in range(0, min(len(fresh), self.remembered), TOGETHER):
+            self._together(fresh[i:i + TOGETHER])
+
+    def _together(self, segments: list[str]) -> None:
+        """The search on segments of at most one window, from the longest to the shortest, side by side."""
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+        width, count = int(sizes[0]), len(segments)
+        codes = np.zeros((count, width), np.int64)
+        codes[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), "<u4")
+        longer = [int(np.searchsorted(-sizes, -i, "right")) for i in range(width + 1)]  # rows of i characters or more
+        score = np.full((width + 1, count), _NEVER)
+        back, ids = np.zeros((width + 1, count), np.int64), np.full((width + 1, count), -1, np.int32)
+        score[0] = 0.0
+        for at in range(width):
+            rows, node = np.arange(longer[at + 1]), np.zeros(longer[at + 1], np.int64)
+            for end in range(at + 1, width + 1):
+                going = int(np.searchsorted(rows, longer[end]))
+                rows, node = rows[:going], node[:going]
+                if not going:
+                    break
+                key = node << 21 | codes[rows, end - 1]
+                found = np.searchsorted(self.step, key)
+                known = self.step[found] == key
+                node = np.where(known, self.to[found], 0)
+                value, one = self.node_score[node], self.node_id[node]
+                if end == at + 1:
+                    value = np.where(one < 0, self.unknown, value)
+                value = value + score[at, rows]
+                better = value > score[end, rows]
+                to = rows[better]
+                score[end, to], back[end, to], ids[end, to] = value[better], at, one[better]
+                rows, node = rows[known], node[known]
+        place, every = sizes.copy(), np.arange(count)
+        taken = []  # ids of the paths, the last of each first
+        while place.any():
+            taken.append(np.where(place > 0, ids[place, every], -2))
+            place = back[place, every]
+        found = np.array(taken[::-1], np.int32).T
+        ends = np.cumsum((found != -2).sum(axis=1)).tolist()
+        flat, strange = found[found != -2], (found == -1).any(axis=1).tolist()
+        for segment, start, end, odd in zip(segments, [0, *ends], ends, strange):  # characters without a piece become bytes
+            self.known[segment] = array("i", self.search(segment)).tobytes() if odd else flat[start:end].tobytes()
+
     def _segments_of(self, part: str, first: bool) -> list[str]:
         marked = (SPACE if first else "") + part.replace(" ", SPACE)
         found = self.segments(marked)
@@ -97,35 +163,28 @@ class Encoder:
 
     def _pieces_of(self, segment: str) -> bytes:
         """Ids of a segment, as the bytes of an array."""
-        if len(segment) <= self.longest:
-            return self._in_one_window(segment)
-        cuts = [i for i in range(1, len(segment)) if segment[i - 1:i + 1] not in self.inside]
-        parts = [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)])]
-        if len(parts) == 1:
-            return array("i", self.search(segment)).tobytes()
-        return b"".join(self.known.get(p) or self._remember(p, self._pieces_of(p)) for p in parts)
-
-    def _in_one_window(self, text: str) -> bytes:
-        """The same search where nothing can be settled before the end."""
-        look, n, unknown = self.begins.get, len(text), self.unknown
-        score, back = [0.0] + [_NEVER] * n, [0] * (n + 1)
-        for at in range(n):
-            here = score[at]
-            known = look(text[at:at + 1])
-            value = here + (known[1] if known and known[0] >= 0 else unknown)
-            if value > score[at + 1]:
-                score[at + 1], back[at + 1] = value, at
-            end = at + 2
-            while known and end <= n:
-                known = look(text[at:end])
-                if known and known[0] >= 0 and here + known[1] > score[end]:
-                    score[end], back[end] = here + known[1], at
-                end += 1
-        ids, place = [], n
-        while place:
-            ids[:0] = self._ids_of(text[back[place]:place])
-            place = back[place]
-        return array("i", ids).tobytes()
+        if len(segment) > self.longest:
+            cuts = [i for i in range(1, len(segment)) if segment[i - 1:i + 1] not in self.inside]
+            if cuts:
+                parts = [segment[a:b] for a, b in zip([0, *cuts], [*cuts, len(segment)])]
+                return b"".join(self.known.get(p) or self._remember(p, self._pieces_of(p)) for p in parts)
+        return array("i", self.search(segment)).tobytes()
+
+    def _beginning(self, head: str) -> tuple[list, int, bool]:
+        """Size and score of each way to go on inside ``head``, the greatest size, and if pieces go on behind it."""
+        look, ways = self.begins.get, []
+        for size in range(1, len(head) + 1):
+            known = look(head[:size])
+            if known and known[0] >= 0:
+                ways.append((size, known[1]))
+            elif size == 1:
+                ways.append((1, self.unknown))  # a character that is no piece
+            if known is None:
+                break
+        if len(self.heads) >= HEADS:
+            self.heads.clear()
+        found = self.heads[head] = ways, ways[-1][0], known is not None and len(head) == HEAD
+        return found
 
     def _ids_of(self, piece: str) -> list[int]:
         known = self.pieces.get(piece)
@@ -133,51 +192,67 @@ class Encoder:
 
     def search(self, text: str) -> Iterator[int]:
         """Ids along the best path, given out as soon as they are settled. Of equal sums the longer last piece wins."""
-        look, width, n = self.begins.get, self.longest, len(text)
-        base = 0  # the last settled boundary; the lists below begin there
-        score, back = [0.0], [0]  # per place: best sum so far, and where its last piece begins
-        root = [0]  # per place whose sum is final: the first boundary after base on its path
-        for at in range(n):
-            here = score[at - base]
-            if at > base:
-                start = back[at - base]
-                settled = at if start == base else root[start - base]
-                root.append(settled)
-                # Pieces to come begin in the last window; one boundary for all of it is settled for good.
-                if at - base >= width and root[-width:].count(settled) == width:
-                    yield from self._ids_of(text[base:settled])
-                    score, back, root = score[settled - base:], back[settled - base:], [settled]
-                    base = settled
-                    for place in range(base + 1, at + 1):
-                        # A path past the boundary on its left ends before the window: no piece begins there any more.
-                        came = back[place - base]
-                        root.append(place if came <= base else root[came - base])
-            end = at
-            while end < n:
-                end += 1
-                known = look(text[at:end])
-                if known is None:
-                    if end - at > 1:
+        look, heads, width, n = self.begins.get, self.heads.get, self.longest, len(text)
+        base = reach = 0  # the last settled boundary, at which the lists below begin, and the last place got to
+        room = min(n + 1, 4 * width)
+        score, back = [0.0] + [_NEVER] * room, [0] * (room + 1)  # per place: best sum so far, where its last piece begins
+        root: list[int] = []  # per place whose sum is final: the first boundary after base on its path
+        place = -1
+        while base + (place := place + 1) < n:
+            if place >= width:
+                settled = 0
+                if place == reach:  # no piece spans this place: all paths end here
+                    settled = place
+                    yield from self._along(text, base, back, place)
+                else:
+                    for p in range(len(root), place + 1):
+                        root.append((root[back[p]] or p) if p else 0)
+                    # Pieces to come begin in the last window; one boundary for all of it is settled for good.
+                    if root[-width:].count(root[place]) == width:
+                        settled = root[place]
+                        yield from self._ids_of(text[base:base + settled])
+                if settled:
+                    # A path past the boundary on its left ends before the window: no piece begins there any more.
+                    score, back = score[settled:reach + 1], [max(0, p - settled) for p in back[settled:reach + 1]]
+                    base, place, reach, root = base + settled, place - settled, reach - settled, []
+                if reach + width >= len(score):
+                    score += [_NEVER] * room
+                    back += [0] * room
+            here = score[place]
+            at = base + place
+            head = text[at:at + HEAD]
+            ways, far, more = heads(head) or self._beginning(head)
+            for size, value in ways:
+                if here + value > score[place + size]:
+                    score[place + size], back[place + size] = here + value, place
+            if more:
+                for end in range(at + HEAD + 1, min(n, at + width) + 1):
+                    known = look(text[at:end])
+                    if known is None:
                         break
-                    known = (-1, self.unknown)  # a character that no piece begins with
-                elif known[0] < 0:
-                    if end - at > 1:
-                        continue  # no piece yet, but the beginning of one
-                    known = (-1, self.unknown)
-                value = here + known[1]
-                i = end - base
-                while i >= len(score):
-                    score.append(_NEVER)
-                    back.append(at)
-                if value > score[i]:
-                    score[i], back[i] = value, at
-        ends, place = [], n
-        while place > base:
+                    if known[0] >= 0:
+                        far = end - at
+                        if here + known[1] > score[place + far]:
+                            score[place + far], back[place + far] = here + known[1], place
+            if place + far > reach:
+                reach = place + far
+        yield from self._along(text, base, back, n - base)
+
+    def _along(self, text: str, base: int, back: list[int], place: int) -> list[int]:
+        """Ids of the path from ``base`` to ``place`` behind it."""
+        ends, ids = [], []
+        while place:
             ends.append(place)
-            place = back[place - base]
-        for place in reversed(ends):
-            yield from self._ids_of(text[base:place])
-            base = place
+            place = back[place]
+        start = base
+        for end in reversed(ends):
+            known = self.pieces.get(piece := text[start:base + end])
+            if known:
+                ids.append(known[0])
+            else:
+                ids += self._ids_of(piece)
+            start = base + end
+        return ids
 
 
 class Decoder:
@@ -211,8 +286,9 @@ def encode_texts(docs: DataFrame, vocabulary: dict) -> DataFrame:
         shared.value.update(encoder=encoder, decoder=decoder)
         for batch in batches:
             ids, ends, exact = array("i"), [0], []
-            for raw in utf8(batch.column(1)):
-                text = raw.decode()
+            texts = [raw.decode() for raw in utf8(batch.column(1))]
+            encoder.learn(texts)
+            for text in texts:
                 one = encoder.encode(text)
                 exact.append(decoder.decode(one) == text)
                 ids.extend(one)

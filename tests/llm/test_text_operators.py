@@ -2,6 +2,7 @@
 
 import random
 import re
+from array import array
 from collections import defaultdict
 from itertools import combinations
 
@@ -276,6 +277,18 @@ def test_streaming_search_is_the_best_path(alphabet):
             assert ids == brute_pieces(encoder, "▁" + text.replace(" ", "▁"))
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "abc ", "ab▁ é", "日a b\n"])
+@pytest.mark.parametrize("remembered", [3, 1000])
+def test_segments_searched_together_are_the_best_paths(alphabet, remembered):
+    rng = random.Random(6)
+    encoder, alone = pieces.Encoder(SMALL, remembered), pieces.Encoder(SMALL)
+    for _ in range(40):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(20)]
+        encoder.learn(texts)
+        assert [encoder.encode(t) for t in texts] == [alone.encode(t) for t in texts]
+        assert all(list(array("i", ids)) == brute_pieces(encoder, s) for s, ids in encoder.known.items())
+
+
 def test_ids_go_out_before_the_text_ends():
     encoder, read = pieces.Encoder(SMALL), []
 
