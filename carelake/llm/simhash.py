@@ -37,7 +37,12 @@ def _simhash(words: list[bytes], width: int) -> int:
         return 0
     parts = [words[i:] for i in range(width)] if len(words) >= width else [[w] for w in words]
     n = len(parts[-1]) if len(words) >= width else 1
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*parts)), np.uint64, n)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*parts)), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, as a signed number; each set in over half of the hashes. None give 0."""
+    n = len(hashes)
     ones = np.zeros(_BITS, np.int64)
     for at in range(0, n, _CHUNK):
         piece = hashes[at:at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
