@@ -452,6 +452,45 @@ def test_edit_distance():
             assert linededup.edit_distance(a, b, most) == min(linededup._plain_distance(a, b), most + 1)
 
 
+def test_distances_side_by_side_are_those_of_single_pairs():
+    chance, one, other, most = random.Random(11), [], [], []
+    for _ in range(600):
+        letters = chance.choice(["ab", "abcdefgh ", "a\u00e9\u6f22\U0001d4b3 z"])
+        a = b = "".join(chance.choices(letters, k=chance.choice([0, 1, 3, 12, 63, 64, 65, 130, 400])))
+        limit = chance.choice([0, 1, 2, 5, 13, 31, 32, 40])
+        for _ in range(chance.randrange(2 * limit + 3)):
+            at = chance.randrange(len(b) + 1)
+            b = b[:at] + chance.choice(["", *letters]) + b[at + chance.randrange(2):]
+        one.append(a), other.append(b), most.append(limit)
+    want = [linededup.edit_distance(a, b, t) for a, b, t in zip(one, other, most)]
+    assert linededup.edit_distances(one, other, most).tolist() == want
+    assert linededup.edit_distances([], [], []).tolist() == []
+
+
+def test_keys_of_many_long_lines_keep_grams_that_the_edits_cannot_all_touch():
+    chance = random.Random(12)
+    lines = ["a" * 500, "ab" * 70, "abc" * 900] + [
+        " ".join(chance.choices(["the", "of", "tion", "her", "zq", "\u6f22\u5b57"], k=chance.choice([60, 90, 300]))) for _ in range(300)]
+    counts, keys, spans = linededup.long_keys_of(lines, linededup.EDITS)
+    assert len(keys) == len(spans) == counts.sum()
+    ends = counts.cumsum()
+    for line, start, end in zip(lines, ends - counts, ends):
+        grams, limit = linededup._grams(line).tolist(), max(keys[start:end].tolist())
+        held = {}
+        for at, gram in enumerate(grams):
+            if gram <= limit:
+                held.setdefault(gram, []).append(at)
+        assert {k: (s >> 32, s & 0x7FFFFFFF) for k, s in zip(keys[start:end].tolist(), spans[start:end].tolist())} == {
+            k: (v[0], v[-1]) for k, v in held.items()}
+        free, apart = 0, 0
+        for at in sorted(p for places in held.values() for p in places):
+            if at >= free:
+                free, apart = at + linededup.GRAM, apart + 1
+        assert apart > linededup.allowed(len(line))
+    assert [len(v) for v in linededup.long_keys_of([], linededup.EDITS)] == [0, 0, 0]
+
+
+
 def brute_lines(texts):
     """Places of lines that go, as (document, line), and links per line text."""
     first, order = {}, []
