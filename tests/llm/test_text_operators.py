@@ -471,8 +471,8 @@ def test_keys_of_many_long_lines_keep_grams_that_the_edits_cannot_all_touch():
     chance = random.Random(12)
     lines = ["a" * 500, "ab" * 70, "abc" * 900] + [
         " ".join(chance.choices(["the", "of", "tion", "her", "zq", "\u6f22\u5b57"], k=chance.choice([60, 90, 300]))) for _ in range(300)]
-    counts, keys, spans = linededup.long_keys_of(lines, linededup.EDITS)
-    assert len(keys) == len(spans) == counts.sum()
+    counts, keys, places = linededup.long_keys_of(lines, linededup.EDITS)
+    assert len(keys) == len(places) == counts.sum()
     ends = counts.cumsum()
     for line, start, end in zip(lines, ends - counts, ends):
         grams, limit = linededup._grams(line).tolist(), max(keys[start:end].tolist())
@@ -480,10 +480,10 @@ def test_keys_of_many_long_lines_keep_grams_that_the_edits_cannot_all_touch():
         for at, gram in enumerate(grams):
             if gram <= limit:
                 held.setdefault(gram, []).append(at)
-        assert {k: (s >> 32, s & 0x7FFFFFFF) for k, s in zip(keys[start:end].tolist(), spans[start:end].tolist())} == {
-            k: (v[0], v[-1]) for k, v in held.items()}
+        assert dict(zip(keys[start:end].tolist(), places[start:end].tolist())) == {
+            k: v[0] if len(v) == 1 else -1 for k, v in held.items()}
         free, apart = 0, 0
-        for at in sorted(p for places in held.values() for p in places):
+        for at in sorted(p for found in held.values() for p in found):
             if at >= free:
                 free, apart = at + linededup.GRAM, apart + 1
         assert apart > linededup.allowed(len(line))
