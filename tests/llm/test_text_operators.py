@@ -555,6 +555,45 @@ def test_near_lines_of_any_length(spark):
     assert any(linededup._plain_distance(texts[-19], t) > 10 for t in links[texts[-19]])
 
 
+@pytest.mark.parametrize("tile,chars", [(4, 1 << 22), (64, 4000)])
+def test_near_copies_of_a_long_line_are_counted_without_a_row_per_pair(spark, monkeypatch, tile, chars):
+    for name, value in (("LARGE_GROUP", 4), ("TILE", tile), ("TILE_CHARS", chars)):
+        monkeypatch.setattr(linededup, name, value)
+    rng, texts = random.Random(14), []
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    for size, copies in ((130, 12), (400, 45), (410, 25), (1200, 6)):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(size)) + "."
+        texts += [base] + [changed(rng, base, rng.randrange(size // 25)) for _ in range(copies)]
+    texts += ["".join(rng.choice("abcdefgh ") for _ in range(n)) + passage + "z" * n for n in range(40, 60, 4)]
+    rng.shuffle(texts)
+    docs = docs_of(spark, texts + texts[:9], [None, *range(1, len(texts) + 9)])
+    first, links = {}, defaultdict(set)
+    for i, text in enumerate(texts):
+        first.setdefault(text, i)
+    for a, b in combinations(first, 2):
+        if linededup.edit_distance(a, b, most := linededup.allowed(min(len(a), len(b)))) <= most:
+            links[a].add(b)
+            links[b].add(a)
+    got = {r.doc_id or 0: r for r in linededup.line_summary(docs).collect()}
+    for i, text in enumerate(texts):
+        near = first[text] == i and any(first[other] < i for other in links[text])
+        assert (got[i].n_repeated, got[i].n_near, got[i].n_links) == (int(first[text] != i), int(near), len(links[text])), i
+    lines, found = linededup.line_links(docs)
+    pairs = sum(map(len, links.values()))
+    assert found.agg({"links": "sum"}).first()[0] == pairs and (tile < 64 or 2 * found.count() < pairs)
+
+
+def test_no_link_is_ruled_out_by_counts_of_characters():
+    rng = random.Random(15)
+    one = ["".join(rng.choice("ab\u00e9\U0001d4b3 ") for _ in range(rng.randrange(60))) for _ in range(400)]
+    most = np.array([rng.randrange(6) for _ in one])
+    other = [changed(rng, a, int(n)) for a, n in zip(one, most)]
+    row = np.arange(len(one))
+    counts = linededup._pair_counts(one + other)
+    assert linededup._may_link(counts, row, row + len(one), most).all()
+    assert not linededup._may_link(linededup._pair_counts(["ab" * 40, "cd" * 40]), row[:1], row[1:2], most[:1]).any()
+
+
 
 def test_thresholds_are_ordered_and_weights_shared():
     rng = np.random.default_rng(10)
