@@ -491,6 +491,28 @@ def test_keys_of_many_long_lines_keep_grams_that_the_edits_cannot_all_touch():
 
 
 
+def test_pairs_of_long_lines_are_told_in_waves_not_column_by_column(monkeypatch):
+    chance = random.Random(16)
+    base = "".join(chance.choices("abcdefgh ", k=60_000)) + "\u00e9"
+    lines = [changed(chance, base, n) for n in (0, 3, 9, 40)] + ["", base[:7], "x" * 60_000]
+    pairs = [(a, b, t) for a, b in combinations(lines, 2) for t in (0, 9, 60)]
+    one, other, most = zip(*pairs)
+    want = [linededup.edit_distance(*pair) for pair in pairs]
+    words, read = linededup._words, []
+    monkeypatch.setattr(linededup, "_words", lambda some, margin: read.append(some) or words(some, margin))
+    for chars in (linededup.LANE_CHARS, 100_000):
+        monkeypatch.setattr(linededup, "LANE_CHARS", chars)
+        assert linededup.edit_distances(one, other, most).tolist() == want
+    assert read and all(len(set(some)) == len(some) for some in read)  # a line of many pairs is laid out once
+
+
+def test_equal_lines_of_a_batch_are_keyed_once(spark):
+    docs = docs_of(spark, ["one line of text\nother line", "one line of text", None, "one line of text"], [3, 2, 1, None])
+    rows = linededup.distinct_lines(docs.coalesce(1), linededup.EDITS).collect()
+    assert sorted((r.n, r["first"].doc_id, r["first"].line_no) for r in rows if r.n > 1) == [(3, None, 0)]
+    assert len(rows) == 2
+
+
 def brute_lines(texts):
     """Places of lines that go, as (document, line), and links per line text."""
     first, order = {}, []
