@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import time
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from carelake import schemas
 from carelake.functions import advice, checks, replies
 from carelake.operators import filters, vectors
 from carelake.plans import collection
+from carelake.session import staged
 from carelake.sources import dumps, envelope
 
 
@@ -147,3 +149,24 @@ def test_scratch_is_removed(spark):
     session.staged(spark.range(3), "gone").count()
     spark.range(3).write.parquet(path)
     assert os.path.isdir(path) and session.clean_scratch(spark) == 2 and not os.path.exists(path)
+
+
+@pytest.mark.parametrize("write", [staged])
+def test_staging_leaves_no_shuffle_files(spark, write):
+    """Shuffle files go with the write that took them, not when the driver collects its garbage."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        names = (found.apply(i).getName() for i in range(found.size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = files(), spark.conf.get(setting)
+    write(spark.range(5000).groupBy((F.col("id") % 991).alias("k")).agg(F.max("id").alias("m")), "no-shuffle-files")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(setting) == was
