@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from carelake import schemas
 from carelake.functions import advice, checks, replies
 from carelake.operators import filters, vectors
+from carelake.llm.common import staged_at
 from carelake.plans import collection
 from carelake.session import staged
 from carelake.sources import dumps, envelope
@@ -151,7 +152,7 @@ def test_scratch_is_removed(spark):
     assert os.path.isdir(path) and session.clean_scratch(spark) == 2 and not os.path.exists(path)
 
 
-@pytest.mark.parametrize("write", [staged])
+@pytest.mark.parametrize("write", [staged, staged_at])
 def test_staging_leaves_no_shuffle_files(spark, write):
     """Shuffle files go with the write that took them, not when the driver collects its garbage."""
     disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
