@@ -13,7 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.operators.vectors import BLOCK_ROWS, RESULT, Clusters, cluster, ranked, routed, search_clusters
+from carelake.operators.vectors import (
+    BLOCK_ROWS, RESULT, Clusters, cluster, ranked, routed, search_clusters, visited_clusters)
 from carelake.session import staged
 
 
@@ -109,7 +110,7 @@ def search_vector_index(spark: SparkSession, path: str, queries: DataFrame, k: i
     clusters = Clusters(np.array([r["centre"] for r in told]), np.array([r["n"] for r in told]),
                         np.array([r["radius"] for r in told]), told[0]["metric"])
     asked = staged(routed(queries, clusters, k), "routed")
-    visited = [r["cluster"] for r in asked.select("cluster").distinct().collect()]
+    visited = visited_clusters(asked)
     index = read_vector_index(spark, path).where(F.col("cluster").isin(visited)) if visited else \
         read_vector_index(spark, path).limit(0)
-    return ranked(search_clusters(asked, index, clusters, k), k)
+    return ranked(search_clusters(asked, index, clusters, k, asked.count()), k)

@@ -44,6 +44,36 @@ def test_pruned_products_visit_few_clusters():
     assert (least <= far).all() and (np.sort(far, axis=1)[:, :1] < least).sum() > 50
 
 
+def test_a_routed_query_is_one_row_however_many_clusters_it_visits():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    q, centres = rng.normal(size=(3000, 64)), rng.normal(size=(400, 64))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(q.tolist())], names=["query_id", "embedding"])
+    route = vectors._route(centres, np.full(400, 9.0), np.full(400, 300), 5, "l2sq")
+    found = list(route([batch]))
+    assert sum(b.num_rows for b in found) == 3000 and max(b.nbytes for b in found) < 4e6
+    visits = np.unpackbits(np.frombuffer(b"".join(v for b in found for v in b.column("visits").to_pylist()), np.uint8))
+    assert visits.reshape(3000, 400).mean() > 0.5  # these queries visit most clusters
+
+
+@pytest.mark.parametrize("metric", vectors.METRICS)
+def test_block_search_with_many_equal_vectors(spark, metric):
+    """As many equal vectors as several blocks hold; ids break the ties."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(300, 3))
+    v[40:140] = v[40]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    asked = rows.selectExpr("vec_id + 1000 AS query_id", "embedding").where("vec_id % 3 = 0")
+    got = {}
+    for r in vectors.similar(asked, rows, 4, metric, few=2, block_rows=8).collect():
+        got.setdefault(r.query_id - 1000, []).append((r["rank"], r.vec_id))
+    for i in range(0, 300, 3):
+        d = vectors._precise(v[i], v, metric)
+        assert [x for _, x in sorted(got[i])] == np.lexsort((np.arange(300), d))[:4].tolist()
+    assert len(got) == 100
+
+
 def test_vectors_of_two_widths_are_refused():
     import pyarrow as pa
     with pytest.raises(ValueError, match="widths"):
