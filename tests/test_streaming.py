@@ -141,3 +141,20 @@ def test_history_and_context_come_from_state(spark, tmp_path):
     assert facts == {(2, "a"): "2", (2, "b"): "1", (2, "age"): "40"}
     late = F.lit(str(BASE + dt.timedelta(days=1))).cast("timestamp")
     assert session_state.history(spark, progress, late).count() == 0
+
+
+def test_landed_pages_are_read_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """More text in one file than a column of one batch of 4 096 rows can hold."""
+    from carelake.streaming import recollect
+
+    size, pages = 1 << 22, 600
+    spark.range(0, pages, 1, 1).selectExpr(
+        "'s' AS source", "id AS page_no", "50L AS batch_size", f"repeat(' ', {size}) AS payload",
+        "timestamp '2024-01-01 00:00:00' AS landed").write.parquet(str(tmp_path / "landing"))
+    taken = []
+    monkeypatch.setattr(recollect, "normalise", lambda batch: batch.selectExpr("page_no", "length(payload) AS n"))
+    monkeypatch.setattr(recollect, "collect_into", lambda spark, base, rows, *rest, **named: taken.append(
+        (tuple(rows.selectExpr("count(*)", "sum(n)").first()), spark.conf.get(recollect.READ_ROWS))))
+    usual = spark.conf.get(recollect.READ_ROWS)
+    recollect.run(spark, str(tmp_path / "landing"), "base", "emergency", None, "c", str(tmp_path / "progress"))
+    assert taken == [((pages, pages * size), usual)] and spark.conf.get(recollect.READ_ROWS) == usual
