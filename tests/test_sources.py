@@ -181,3 +181,21 @@ def test_scan_is_pushed_down(spark, tmp_path):
     plan = snapshots.scan(spark, str(tmp_path / "p"), "SELECT id FROM {rows} WHERE other > :n", ["id", "other"], n=5)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(other,5)" in text and "third" not in text
+
+
+def test_a_stored_index_is_asked_by_one_row_per_query(spark, tmp_path, monkeypatch):
+    """However many clusters a query visits; the k best are those of brute force."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(400, 8))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    path, kept = str(tmp_path / "index"), []
+    snapshots.write_vector_index(rows, path, "dot")
+    stage = snapshots.staged
+    monkeypatch.setattr(snapshots, "staged", lambda df, label: kept.append(stage(df, label)) or kept[-1])
+    found = snapshots.search_vector_index(spark, path, rows.withColumnRenamed("vec_id", "query_id"), 3).collect()
+    assert [df.count() for df in kept] == [400]
+    got = {(r.query_id, r["rank"]): r.vec_id for r in found}
+    best = np.argsort(-(v @ v.T), axis=1)[:, :3]
+    assert got == {(i, j + 1): best[i, j] for i in range(400) for j in range(3)}
